@@ -42,7 +42,8 @@ class WordTokenizer(dict):
             body, mark = (token[: -len(end)], b"\xff") if end and token.endswith(end) else (token, b"")
             if body and all(c in letters for c in body):
                 ranks[bytes(letters[c] for c in body) + mark] = i
-        self.ends = ranks.pop(b"\xff", None) is None and bool(end)
+        ranks.pop(b"\xff", None)  # no byte of UTF-8; it is the end mark here
+        self.ends = bool(end)
         free = max(ranks.values()) + 1000
         for b in range(256):
             ranks.setdefault(bytes([b]), free + b)
