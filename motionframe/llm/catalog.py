@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from motionframe.llm import best_fit_packing, minhash, quality_classifier, quality_rules, token_matrix
+from motionframe.llm import best_fit_packing, license_scan, minhash, quality_classifier, quality_rules, token_matrix
 
-_MODULES = (quality_rules, quality_classifier, minhash, best_fit_packing, token_matrix)
+_MODULES = (quality_rules, quality_classifier, minhash, best_fit_packing, token_matrix, license_scan)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
