@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from motionframe.llm import best_fit_packing, html_extraction, license_scan, minhash, quality_classifier, quality_rules, token_matrix, url_filter
+from motionframe.llm import best_fit_packing, html_extraction, license_scan, metric_tree, minhash, quality_classifier, quality_rules, token_matrix, url_filter
 
-_MODULES = (quality_rules, quality_classifier, minhash, best_fit_packing, token_matrix, license_scan, url_filter, html_extraction)
+_MODULES = (quality_rules, quality_classifier, minhash, best_fit_packing, token_matrix, license_scan, url_filter, html_extraction, metric_tree)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
