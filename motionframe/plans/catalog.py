@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from motionframe.plans import motion
+
+FLAGSHIP = "triangulate"
+QUERIES = motion.QUERIES
+ORACLE = motion.ORACLE
