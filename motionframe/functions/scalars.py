@@ -187,13 +187,16 @@ def brown_distort(x: Column, y: Column, k1: Column, k2: Column, k3: Column, p1:
 
 
 def brown_undistort(x: Column, y: Column, k1: Column, k2: Column, k3: Column, p1: Column, p2: Column, steps: int = 3) -> tuple[Column, Column]:
-    """Fixed-point inverse of ``brown_distort`` in a fixed number of steps."""
-    a, b = x, y
-    for _ in range(steps):
-        r2 = a * a + b * b
+    """Fixed-point inverse of ``brown_distort`` in a fixed number of steps, as one fold over the pair."""
+
+    def step(s: Column, _: Column) -> Column:
+        p, q = s["a"], s["b"]
+        r2 = p * p + q * q
         radial = 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
-        a, b = (x - 2 * p1 * a * b - p2 * (r2 + 2 * a * a)) / radial, (y - p1 * (r2 + 2 * b * b) - 2 * p2 * a * b) / radial
-    return a, b
+        return F.struct(((x - 2 * p1 * p * q - p2 * (r2 + 2 * p * p)) / radial).alias("a"), ((y - p1 * (r2 + 2 * q * q) - 2 * p2 * p * q) / radial).alias("b"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(x.alias("a"), y.alias("b")), step)
+    return found["a"], found["b"]
 
 
 # ---- verdicts ----------------------------------------------------------------------------------------

@@ -56,7 +56,7 @@ def finite(c: Column) -> Column:
 
 def _numbered(spark: SparkSession, path: str, skip: int) -> DataFrame:
     """(row, cells) of a text file's lines after the header, blank lines included, in file order."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     rows = lines.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\Z", ""), r"\r?\n")).alias("row", "line"))
     return rows.where(F.col("row") >= skip).select((F.col("row") - skip).cast("long").alias("row"), F.split("line", ",", -1).alias("cells"))
 
