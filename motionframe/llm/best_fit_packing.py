@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motionframe.llm._common import table, written
-from motionframe.llm.tokenizing import WordTokenizer, default_path
+from motionframe.llm.tokenizing import default_path, worker_tokenizer
 
 CAPACITY = 2048
 LEAST_SALTS = 32
@@ -38,7 +38,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, termi
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordTokenizer(path)
+        words = worker_tokenizer(path)
         for f in frames:
             rows: list[tuple] = []
             for doc, text in zip(f["doc_id"], f["text"], strict=True):

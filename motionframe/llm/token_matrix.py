@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionframe.llm._common import table
-from motionframe.llm.tokenizing import WordTokenizer, default_path
+from motionframe.llm.tokenizing import default_path, worker_tokenizer
 
 CAPACITY = 2048
 RUN_TOKENS = 4_000_000
@@ -96,7 +96,7 @@ def id_matrix(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
         return pd.DataFrame(out, columns=["n_tokens", "ids", "cu_seqlens", "resets", "segments"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, held, tokens = WordTokenizer(path), [], 0
+        words, held, tokens = worker_tokenizer(path), [], 0
         for f in frames:
             for doc, text in zip(f["doc_id"], f["text"], strict=True):
                 ids = np.frombuffer(words.encode(text) + end, "<u4").astype(kind)

@@ -9,12 +9,16 @@ combining marks, special-token strings) go through the tokenizer library itself.
 from __future__ import annotations
 
 import json
+import sys
+from array import array
+from types import ModuleType
 
 import numpy as np
 import regex
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 CACHED_PARTS = 400_000
+MARKS = frozenset(".,!?;:")
 
 
 def default_path() -> str:
@@ -52,24 +56,33 @@ class WordTokenizer(dict):
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
         self.plain = regex.compile(r"[!-~À-ÖØ-öø-ÿ]*")
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
+            found = self.older_pieces.get(piece)
+            if found is None:
+                found = array("I", self.pairs._core_bpe.encode_single_piece(piece.encode() + b"\xff")).tobytes()
             if len(self.pieces) >= CACHED_PARTS:
-                self.pieces.clear()
-            ids = self.pairs._core_bpe.encode_single_piece(piece.encode() + b"\xff")
-            found = self.pieces[piece] = np.array(ids, "<u4").tobytes()
+                self.older_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = found
         return found
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHED_PARTS:
-            self.clear()
-        if self.ends and "<|" not in part and self.plain.fullmatch(part):
-            found = b"".join(map(self._piece, self.pattern.findall(part.lower())))
+        if self.ends and (part.isascii() or self.plain.fullmatch(part)) and "<|" not in part:
+            low = part.lower()
+            if low.isalpha():
+                found = self._piece(low)
+            elif low[:-1].isalpha() and low[-1:] in MARKS:
+                found = self._piece(low[:-1]) + self._piece(low[-1])
+            else:
+                found = b"".join(map(self._piece, self.pattern.findall(low)))
         else:
             found = np.array(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
         if len(part) <= 64:
+            if len(self) >= CACHED_PARTS:
+                self.clear()
             self[part] = found
         return found
 
@@ -78,3 +91,11 @@ class WordTokenizer(dict):
         if not text:
             return b""
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """This process's tokenizer for ``path``. Python workers serve many tasks; tables and caches are made once in each."""
+    held = sys.modules.setdefault("_motionframe_tokenizers", ModuleType("_motionframe_tokenizers")).__dict__
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
