@@ -99,11 +99,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     lines = votes.groupBy("row", "template", "size", "phrase", (F.col("at") - F.col("t_pos")).alias("diagonal")).agg(F.sort_array(F.collect_set("t_pos")).alias("t"))
     lines = lines.withColumns({"first": F.col("diagonal") + F.get("t", F.lit(0)), "last": F.col("diagonal") + F.element_at("t", -1) + (K - 1)})
     whole = lines.where(F.col("phrase") & (F.size("t") == F.col("size") - (K - 1))).select("row", "template", F.col("first").alias("first_word"), F.col("last").alias("last_word"), F.col("size").alias("covered"))
-    # Neighbouring diagonals of a longer template are one run while their drift and the gap stay small.
+    # Neighbouring diagonals of a longer template are one run while their drift and the gap stay small. A lone
+    # vote is a gram that the template repeats, on a diagonal of its own, and would part the run.
     order = Window.partitionBy("row", "template").orderBy("first", "diagonal")
     gap = F.col("first") - F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     joined = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= DRIFT) & (gap <= REACH)
-    runs = lines.where(~F.col("phrase")).withColumn("fresh", (~F.coalesce(joined, F.lit(False))).cast("int"))
+    runs = lines.where(~F.col("phrase") & (F.size("t") > 1)).withColumn("fresh", (~F.coalesce(joined, F.lit(False))).cast("int"))
     runs = runs.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy("row", "template", "run").agg(F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.flatten(F.collect_list("t")).alias("t"))
     merged = merged.withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("t", lambda x: F.sequence(x, x + (K - 1)))))))

@@ -82,7 +82,7 @@ class BradleyTerry:
 
 def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, at: float = CUT, decay: float = 1e-3, seed: int = 5) -> BradleyTerry:
     """Newton's method on the mean logistic loss over differences (preferred minus rejected)."""
-    k = x.shape[1] if x.size else len(FEATURES)
+    k = x.shape[1]
     first, second = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(first) or not len(second):
         return BradleyTerry((0.0,) * k, (0.0,) * k, (1.0,) * k, math.log(at / (1 - at)), at)
