@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motionframe.llm._common import let, table
+from motionframe.llm._common import let, table, written
 
 SPACE = "▁"
 FREQUENT = 200_000
@@ -147,15 +147,53 @@ def viterbi(seg: Column, edges: Column, unknown: float = -100.0) -> Column:
 
 
 class Encoder(dict):
-    """Ids of a segment by the byte-pair rule, with a bounded cache."""
+    """Ids of a segment by the byte-pair rule, with a bounded cache.
+
+    The rule runs in a byte-pair table whose ranks are the order of the scores, after ranks that first put
+    the bytes of each character together. Segments it leaves in parts that are no pieces (they hold
+    characters without a piece) are merged symbol by symbol.
+    """
 
     def __init__(self, normal: dict[str, tuple[float, int]], byte_ids: tuple[int, ...]):
         super().__init__()
+        import tiktoken
+
         self.normal, self.byte_ids = normal, byte_ids
+        ranks: dict[bytes, int] = {}
+        for piece in normal:
+            raw = piece.encode()
+            if len(piece) == 1:
+                for n in range(1, len(raw)):
+                    ranks.setdefault(raw[:n], len(ranks))
+        for piece in sorted((p for p in normal if len(p) == 1), key=lambda p: normal[p][1]):
+            ranks.setdefault(piece.encode(), len(ranks))
+        for b in range(256):
+            ranks.setdefault(bytes([b]), len(ranks))
+        self.first = len(ranks)
+        longer = sorted((p for p in normal if len(p) > 1), key=lambda p: (-normal[p][0], normal[p][1]))
+        for piece in longer:
+            ranks[piece.encode()] = len(ranks)
+        self.ids = {ranks[p.encode()]: i for p, (_, i) in normal.items()}
+        scores = [normal[p][0] for p in longer]
+        # Pieces of equal score are merged from the left, whichever they are; ranks can't say that.
+        self.tied = {self.first + k + d for k in range(len(scores) - 1) if scores[k] == scores[k + 1] for d in (0, 1)}
+        self.pairs = tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def __missing__(self, seg: str) -> list[int]:
         if len(self) >= CACHED:
             self.clear()
+        try:
+            parts = self.pairs.encode_single_piece(seg.encode())
+            ids = None if not self.tied.isdisjoint(parts) else [self.ids[p] for p in parts]
+        except (KeyError, UnicodeEncodeError):
+            ids = None
+        if ids is None:
+            ids = self.symbol_by_symbol(seg)
+        if len(seg) <= LONGEST_SEGMENT:
+            self[seg] = ids
+        return ids
+
+    def symbol_by_symbol(self, seg: str) -> list[int]:
         normal, symbols = self.normal, list(seg)
         pairs = [normal.get(a + b) for a, b in zip(symbols, symbols[1:], strict=False)]
         while True:
@@ -170,8 +208,6 @@ class Encoder(dict):
         ids: list[int] = []
         for s in symbols:
             ids += (normal[s][1],) if s in normal else (self.byte_ids[b] for b in s.encode("utf-8", "surrogatepass"))
-        if len(seg) <= LONGEST_SEGMENT:
-            self[seg] = ids
         return ids
 
 
@@ -184,7 +220,8 @@ def frequent_segments(docs: DataFrame, n: int = FREQUENT) -> DataFrame:
 def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row of ``docs``."""
     spark, known = docs.sparkSession, pieces(path)
-    some = frequent_segments(docs, frequent)
+    # The limit leaves one partition; the lattice is spread again, and its bounded result collected at once.
+    some = written(frequent_segments(docs, frequent), "segments").repartition("seg")
     folded = lattice(some, piece_table(spark, known), known.longest).select("seg", merged(F.col("seg"), F.col("edges")).alias("ids"))
 
     def spelled(seg_ids) -> list[int]:
@@ -193,7 +230,7 @@ def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -
             out += (i,) if i >= 0 else (known.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
         return out
 
-    dictionary = spark.sparkContext.broadcast({r["seg"]: spelled(r["ids"]) for r in folded.toLocalIterator()})  # at most `frequent` entries
+    dictionary = spark.sparkContext.broadcast({r["seg"]: spelled(r["ids"]) for r in folded.collect()})  # at most `frequent` entries
     shared = spark.sparkContext.broadcast((known.normal, known.byte_ids))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
