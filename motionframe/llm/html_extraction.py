@@ -2,13 +2,12 @@
 
 Pages are parsed once into blocks of text. Elements whose tag, role or class says what they are (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles) are left out. Every
-other container is hashed with its whole subtree; Spark counts how many pages of a host hold each hash, and
-subtrees that recur across many pages of their host are deleted. Where a page marks its article, only
-containers inside it (never its paragraphs, headings, lists or tables) can be templates, so that passages
-which pages really share stay; without such a mark all elements can.
+other element is hashed with its whole subtree; Spark counts how many pages of a host hold each hash, and
+subtrees that recur across many pages of their host are deleted. Where a page marks its article, that article
+and the paragraphs, headings, lists and tables in it must recur on nearly all pages, so that passages which
+pages really share stay; containers in it, and all elements of pages without such a mark, on fewer.
 
-Pages without a countable subtree are finished in the first pass; only (host, hash) counts and the pages
-that have candidates are shuffled.
+Only (host, hash) counts are shuffled, and the texts if the rows with a template are too many to broadcast.
 
 Defined cases: null or empty html gives an empty text; a null URL is a host of its own; unclosed and stray
 tags close as browsers close them; repeated rows get equal texts each (each counts as a page of its host);
@@ -30,6 +29,8 @@ from motionframe.llm._common import table, written
 
 #: A subtree is a template if so many pages of its host hold it, and at least this share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: The share for articles and the text elements in them.
+ARTICLE_SHARE = 0.8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z!?][^>]*+>|<!\[CDATA\[|<[!?][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -37,7 +38,7 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _DROPPED = frozenset("head script style noscript template nav aside form footer button select option textarea title iframe object embed svg canvas dialog menu audio video noembed noframes input label fieldset".split())
-#: Kept inside an article whatever recurs.
+#: Inside an article these need ``ARTICLE_SHARE``.
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table thead tbody tfoot tr td th figure figcaption".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _KEEP_INSIDE_LIST = frozenset("ul ol dl table body html article main section div".split())
@@ -71,7 +72,10 @@ def _attributes(raw: str) -> tuple[bool, str]:
 
 
 def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
-    """(text, hashes of the countable subtrees around it) of each block of the main text, in page order."""
+    """(text, hashes of the subtrees around it) of each block of the main text, in page order.
+
+    The last bit of a hash says whether the subtree is an article or a text element in one.
+    """
     page = page or ""
     stack: list[_Frame] = []
     events: list[str] = []
@@ -89,7 +93,8 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
 
     def close(frame: _Frame) -> None:
         if frame.mark:
-            hashes[frame.mark] = xxhash.xxh3_64_intdigest("\x00".join(events[frame.events :]).encode("utf-8", "surrogatepass"))
+            strict = frame.tag in ("article", "main") or (frame.inside == "article" and frame.tag in _TEXTUAL)
+            hashes[frame.mark] = xxhash.xxh3_64_intdigest("\x00".join(events[frame.events :]).encode("utf-8", "surrogatepass")) & ~1 | strict
         events.append("/")
 
     def pop_to(k: int) -> None:
@@ -146,7 +151,7 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
                     f.dropped = False
             inside = tag
         hard = tag in _DROPPED or (tag == "header" and inside != "article")
-        countable = tag in _BLOCKS and tag not in ("html", "body", "article", "main") and not (inside == "article" and tag in _TEXTUAL)
+        countable = tag in _BLOCKS and tag not in ("html", "body")
         marks += countable
         if tag in _RAW:
             end = page.lower().find(f"</{tag}", at) if page.find(f"</{tag}", at) < 0 else page.find(f"</{tag}", at)
@@ -194,9 +199,11 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     seen = open_.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"))
     pages_of = parsed.groupBy("host").agg(F.count("*").alias("pages"))
     often = seen.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    templates = often.join(pages_of, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "mark")
-    # A page has few marks, so the set that a row gathers is bounded by the page.
-    hits = seen.join(templates, ["host", "mark"]).groupBy("row").agg(F.collect_set("mark").alias("gone"))
+    share = F.when(F.col("mark").bitwiseAND(1) == 1, F.greatest(F.lit(ARTICLE_SHARE), F.lit(least_share))).otherwise(F.lit(least_share))
+    templates = often.join(pages_of, "host").where(F.col("n") >= share * F.col("pages")).select("host", "mark")
+    # A page has few marks, so the set that a row gathers is bounded by the page. Written, so that the size of
+    # the hits decides how they are joined: texts are shuffled only if there are many.
+    hits = written(seen.join(templates, ["host", "mark"]).groupBy("row").agg(F.collect_set("mark").alias("gone")), "template-hits")
     rest = open_.join(hits, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
     left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["marks"], F.col("gone")))
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n\n")

@@ -362,6 +362,15 @@ def test_templates_go_where_they_recur(spark):
     assert html_extraction.extract(pages.where("false")).count() == 0
 
 
+def test_templates_inside_articles(spark):
+    line, menu = "<p>Subscribe to our letter</p>", "<ul><li>Home<li>Contact</ul>"
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>Text {i}</p>{'<p>A shared passage</p>' * (i % 2)}{line}{menu}</article></body>"
+    rows = [(i, f"http://a.net/{i}", page(i)) for i in range(20)] + [(99, "http://b.net/", page(99))]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\nText {i}" + "\n\nA shared passage" * (i % 2) for i in range(20))
+    assert got[99] == "Title 99\n\nText 99\n\nA shared passage\n\nSubscribe to our letter\n\nHome\n\nContact"
+
+
 # ---- top-k -----------------------------------------------------------------------------------------------
 
 
