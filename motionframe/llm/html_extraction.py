@@ -3,14 +3,17 @@
 Pages are parsed once into blocks of text. Elements whose tag, role or class says what they are (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles) are left out. Every
 other element is hashed with its whole subtree; Spark counts how many pages of a host hold each hash, and
-subtrees that recur across many pages of their host are deleted. Where a page marks its article, that article
-and the paragraphs, headings, lists and tables in it must recur on nearly all pages, so that passages which
-pages really share stay; containers in it, and all elements of pages without such a mark, on fewer.
+subtrees that recur are deleted from all its pages. Pages with one text (copies under several addresses) count
+once. A subtree is a template if it recurs on a share of the pages of one section (first directory of the
+address) or of one layout (containers outside the article) of its host, or, whatever the size of the host, on
+``MANY_PAGES``. Where a page marks its article, that article and the paragraphs, headings, lists and tables in
+it must recur on nearly all pages of the section or layout, and no number is enough, so that passages which
+pages really share stay.
 
 Only (host, hash) counts are shuffled, and the texts if the rows with a template are too many to broadcast.
 
 Defined cases: null or empty html gives an empty text; a null URL is a host of its own; unclosed and stray
-tags close as browsers close them; repeated rows get equal texts each (each counts as a page of its host);
+tags close as browsers close them; repeated rows get equal texts each;
 an empty table gives an empty result; only id, url and html are read.
 """
 
@@ -27,10 +30,12 @@ from pyspark.sql import functions as F
 
 from motionframe.llm._common import table, written
 
-#: A subtree is a template if so many pages of its host hold it, and at least this share of them.
+#: A subtree is a template if so many pages of its host hold it, and at least this share of a section or layout.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
 #: The share for articles and the text elements in them.
 ARTICLE_SHARE = 0.8
+#: So many pages make any other subtree a template.
+MANY_PAGES = 100
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z!?][^>]*+>|<!\[CDATA\[|<[!?][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -71,11 +76,21 @@ def _attributes(raw: str) -> tuple[bool, str]:
     return drop, name
 
 
+def _signed(text: str) -> int:
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
 def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
     """(text, hashes of the subtrees around it) of each block of the main text, in page order.
 
     The last bit of a hash says whether the subtree is an article or a text element in one.
     """
+    return _main_text(page)[0]
+
+
+def _main_text(page: str | None) -> tuple[list[tuple[str, list[int]]], str]:
+    """``blocks_of`` a page, and its layout."""
     page = page or ""
     stack: list[_Frame] = []
     events: list[str] = []
@@ -83,6 +98,7 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
     found: list[tuple[str, str, tuple[int, ...], tuple[_Frame, ...]]] = []
     pending: list[str] = []
     marks = 0
+    containers: set[str] = set()
 
     def flush() -> None:
         if pending:
@@ -153,6 +169,8 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
         hard = tag in _DROPPED or (tag == "header" and inside != "article")
         countable = tag in _BLOCKS and tag not in ("html", "body")
         marks += countable
+        if inside != "article" and countable and tag not in _TEXTUAL:
+            containers.add(f"{tag} {name}")
         if tag in _RAW:
             end = page.lower().find(f"</{tag}", at) if page.find(f"</{tag}", at) < 0 else page.find(f"</{tag}", at)
             at = n if end < 0 else page.find(">", end) + 1 or n
@@ -165,30 +183,51 @@ def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
     flush()
     pop_to(0)
     alive = [(t, inside, own) for t, inside, own, drops in found if not any(f.dropped for f in drops)]
-    for level in ("article", "main"):
-        if any(inside == level for _, inside, _ in alive):
-            alive = [x for x in alive if x[1] == level]
-            break
-    return [(t, [hashes[i] - (1 << 64) if hashes[i] >= 1 << 63 else hashes[i] for i in own]) for t, _, own in alive]
+    level = next((a for a in ("article", "main") if any(inside == a for _, inside, _ in alive)), "")
+    if level:
+        alive = [x for x in alive if x[1] == level]
+    blocks = [(t, [hashes[i] - (1 << 64) if hashes[i] >= 1 << 63 else hashes[i] for i in own]) for t, _, own in alive]
+    return blocks, "\n".join([level, *sorted(containers)])
 
 
 def _host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
 
 
+def _section(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
+
+
 def _parsed(pages: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            texts, blocks = [], []
-            for page in f["html"]:
-                found = blocks_of(page)
+            rows = []
+            for host, section, page in zip(f["host"], f["section"], f["html"]):
+                found, layout = _main_text(page)
+                text = "\n\n".join(t for t, _ in found)
+                level = layout.split("\n", 1)[0]
+                groups = [_signed("\x00".join((host, level, "section", section))), _signed("\x00".join((host, level, "layout", layout)))]
                 some = any(own for _, own in found)
-                texts.append(None if some else "\n\n".join(t for t, _ in found))
-                blocks.append([{"text": t, "marks": own} for t, own in found] if some else None)
-            yield pd.DataFrame({"page_id": f["page_id"].astype("Int64"), "url": f["url"], "host": f["host"], "text": texts, "blocks": blocks})
+                blocks = [{"text": t, "marks": own} for t, own in found] if some else None
+                rows.append((None if some else text, blocks, groups, _signed(text)))
+            made = pd.DataFrame(rows, columns=["text", "blocks", "groups", "content"])
+            yield pd.DataFrame({"page_id": f["page_id"].astype("Int64"), "url": f["url"], "host": f["host"]}).join(made)
+
+    host = _host(F.col("url")).alias("host")
+    rows = pages.select(F.col("page_id").cast("long"), "url", host, _section(F.col("url")).alias("section"), "html")
+    return rows.mapInPandas(run, "page_id long, url string, host string, text string, blocks array<struct<text:string,marks:array<long>>>, groups array<long>, content long")
+
 
-    rows = pages.select(F.col("page_id").cast("long"), "url", _host(F.col("url")).alias("host"), "html")
-    return rows.mapInPandas(run, "page_id long, url string, host string, text string, blocks array<struct<text:string,marks:array<long>>>")
+def _templates(parsed: DataFrame, repeats: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+    """(host, mark) of the templates among ``repeats`` (host, mark, groups, content)."""
+    strict = F.col("mark").bitwiseAND(1) == 1
+    share = F.when(strict, F.greatest(F.lit(ARTICLE_SHARE), F.lit(least_share))).otherwise(F.lit(least_share))
+    pages = F.count_distinct("content")
+    many = repeats.where(~strict).groupBy("host", "mark").agg(pages.alias("n")).where(F.col("n") >= max(MANY_PAGES, least_pages))
+    inside = repeats.select("host", "mark", "content", F.explode("groups").alias("group")).groupBy("host", "group", "mark").agg(pages.alias("n"))
+    size = parsed.where("blocks is not null or text != ''").select("content", F.explode("groups").alias("group")).groupBy("group").agg(pages.alias("pages"))
+    often = inside.where(F.col("n") >= least_pages).join(size, "group").where(F.col("n") >= share * F.col("pages"))
+    return many.select("host", "mark").union(often.select("host", "mark")).distinct()
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -196,14 +235,13 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     parsed = written(_parsed(pages).withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
     done = parsed.where("blocks is null").select("page_id", "url", "text")
     open_ = parsed.where("blocks is not null")
-    seen = open_.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"))
-    pages_of = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    often = seen.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    share = F.when(F.col("mark").bitwiseAND(1) == 1, F.greatest(F.lit(ARTICLE_SHARE), F.lit(least_share))).otherwise(F.lit(least_share))
-    templates = often.join(pages_of, "host").where(F.col("n") >= share * F.col("pages")).select("host", "mark")
+    seen = open_.select("row", "host", "groups", "content", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"))
+    some = seen.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("host", "mark")
+    repeats = written(seen.join(some, ["host", "mark"]), "repeated-subtrees")
     # A page has few marks, so the set that a row gathers is bounded by the page. Written, so that the size of
     # the hits decides how they are joined: texts are shuffled only if there are many.
-    hits = written(seen.join(templates, ["host", "mark"]).groupBy("row").agg(F.collect_set("mark").alias("gone")), "template-hits")
+    gone = repeats.join(_templates(parsed, repeats, least_pages, least_share), ["host", "mark"])
+    hits = written(gone.groupBy("row").agg(F.collect_set("mark").alias("gone")), "template-hits")
     rest = open_.join(hits, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
     left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["marks"], F.col("gone")))
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n\n")

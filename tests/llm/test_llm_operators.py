@@ -371,6 +371,16 @@ def test_templates_inside_articles(spark):
     assert got[99] == "Title 99\n\nText 99\n\nA shared passage\n\nSubscribe to our letter\n\nHome\n\nContact"
 
 
+def test_templates_of_large_hosts(spark):
+    box, menu = "<div>A notice</div>", "<ul><li>Part one<li>Part two</ul>"
+    page = lambda i: f"<body>{box * (i % 6 == 0)}{menu * (i < 30)}<p>Text {i}</p>{'<p>Quoted by few</p>' * (i % 60 == 31)}</body>"
+    rows = [(i, f"http://a.net/{'one' if i < 30 else 'two'}/{i}", page(i)) for i in range(900)]
+    rows += [(i, f"http://a.net/two/{i}", "<body><div>One text under many addresses</div></body>") for i in range(900, 1100)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Text {i}" + "\n\nQuoted by few" * (i % 60 == 31) for i in range(900))
+    assert all(got[i] == "One text under many addresses" for i in range(900, 1100))
+
+
 # ---- top-k -----------------------------------------------------------------------------------------------
 
 
