@@ -287,6 +287,11 @@ def missing_landmarks(spark, sf):
     return alignment.missing_names(cells(spark, sf).where("frame < 2"))
 
 
+@query(with_(CELLS) + ", h AS (SELECT DISTINCT camera, name FROM cells) SELECT c.camera, n.name FROM (SELECT DISTINCT camera FROM h) c CROSS JOIN (SELECT DISTINCT name FROM h) n ANTI JOIN h USING (camera, name)")
+def missing_landmarks_whole(spark, sf):
+    return alignment.missing_names(cells(spark, sf))
+
+
 _LAGS = """a AS (SELECT frame, c AS v FROM clean WHERE source = 'click'), b AS (SELECT frame, c AS v FROM clean WHERE source = 'view'),
     lags AS (SELECT unnest(range(-20, 21)) AS lag),
     sc AS (SELECT lag, count(*) AS n, sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS r FROM lags JOIN a ON true JOIN b ON b.frame = a.frame + lag GROUP BY lag HAVING count(*) >= 16)"""
