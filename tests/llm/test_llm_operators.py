@@ -164,6 +164,13 @@ def test_near_duplicates(docs, none, k):
         assert minhash.near_duplicates(none, k, 80).count() == 0
 
 
+def test_deduplicated_with_repeated_and_null_ids(spark):
+    a, b, c = (prose(80) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, near(b, 1)), (None, c), (None, c), (None, near(a, 1)), (3, near(c, 1)), (None, ""), (None, None), (4, ""), (4, None), (4, ""), (5, "")]
+    got = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, a), (1, b), rows[7], (None, ""), (None, None), (4, ""), (4, None), (5, "")], key=repr)
+
+
 def test_chain_of_blocks(spark, monkeypatch):
     """A group larger than a block whose members link only through others."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
