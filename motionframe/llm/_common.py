@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where none is set (tests, local runs)."""
+    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where none is set and all runs in one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -42,6 +44,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` made and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def text_id(name: str) -> Column:
+    """An id column as text. Pandas turns a batch of numbers that holds a null into floats, which lose digits over 2^53."""
+    return F.col(f"`{name}`").cast("long").cast("string").alias(name)
+
+
+def long_id(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a ``text_id`` turned back."""
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for a row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motionframe.llm._common import table, written
+from motionframe.llm._common import long_id, table, text_id, written
 from motionframe.llm.tokenizing import default_path, worker_tokenizer
 
 CAPACITY = 2048
@@ -46,10 +46,10 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, termi
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=columns)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInPandas(run, schema)
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    return long_id(docs.select(text_id("doc_id"), "text").mapInPandas(run, schema), "doc_id")
 
 
 def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

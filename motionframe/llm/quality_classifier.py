@@ -11,7 +11,8 @@ ids, ``pairs`` pairs drawn from them with a fixed seed. Every text is scored who
 Defined cases: a null text counts as empty and gets a score like any other; rows without an id are scored
 and never used for fitting; repeated rows get equal scores; a document labelled more than once counts as
 preferred if at least half its labels do; null labels are left out; without labels of both kinds there are
-no pairs and every score is 0.5; an empty table gives an empty result; further columns pass through.
+no pairs and every score is 0.5; scores equal to the cut pass it (ties); texts of any length are scored
+whole, in time linear in their length; an empty table gives an empty result; further columns pass through.
 """
 
 from __future__ import annotations
@@ -119,8 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pair
         for f in frames:
             yield pd.DataFrame({"id": f["__id"], "good": f["__good"], "x": [features(t) for t in f["__text"]]})
 
-    rows = texts.join(F.broadcast(some), "__id").mapInPandas(run, "id long, good boolean, x array<double>").toPandas()
-    rows = rows.assign(key=rows["x"].map(tuple)).sort_values(["id", "key"]).drop_duplicates("id")
+    measured = texts.join(F.broadcast(some), "__id").mapInPandas(run, "id long, good boolean, x array<double>")
+    # One row for each id of the sample, so that repeated rows stay in Spark; a hot id is combined before the shuffle.
+    rows = measured.groupBy("id").agg(F.min(F.struct("x", "good")).alias("r")).select("id", "r.x", "r.good").toPandas().sort_values("id")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit_pairs(x, rows["good"].to_numpy(bool), pairs, at)
 
@@ -133,9 +135,13 @@ def score(text: Column, model: BradleyTerry) -> Column:
     return scored(text)
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score at least the cut."""
-    model = fit(docs, labels)
+def filter_documents(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that score at least the cut.
+
+    ``labelled`` holds the texts that labels refer to; ``docs`` itself by default. Where earlier filters have
+    already taken most rejected documents away, give the unfiltered table, or the model sees one kind only.
+    """
+    model = fit(docs if labelled is None else labelled, labels)
     return docs.where(score(F.col("text"), model) >= model.at)
 
 

@@ -28,7 +28,7 @@ def test_stages(spark, sf):
         docs = stage(spark, docs, path)
         assert docs.columns == before.columns, name
         if name == "quality_rules":
-            kept = {r.doc_id for r in quality_rules.apply_policy(quality_rules.ledger(before)).where("kept").collect()}
+            kept = {r.doc_id for r in quality_rules.apply_policy(quality_rules.ledger(before), quality_rules.STRUCTURE).where("kept").collect()}
             assert {r.doc_id for r in docs.collect()} == kept
         docs = docs.persist()
     left = [r.doc_id for r in docs.collect()]
