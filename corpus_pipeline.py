@@ -15,13 +15,16 @@ from motionframe.llm._common import table, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return quality_rules.filter_documents(docs)
+    """Documents that no rule about length or repetition rejects; style is the next stage's business."""
+    return quality_rules.filter_documents(docs, quality_rules.STRUCTURE)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least the cut of a model fitted on the labelled ones among them."""
-    return quality_classifier.filter_documents(docs, table(spark, sf_dir, "labels"))
+    """Documents that score at least the cut of a model fitted on all labelled documents, those that the rules dropped included.
+
+    Without labels of both kinds every score is 0.5 and nothing is dropped.
+    """
+    return quality_classifier.filter_documents(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
