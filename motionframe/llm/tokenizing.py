@@ -17,7 +17,7 @@ import numpy as np
 import regex
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-CACHED_PARTS = 400_000
+CACHED_PARTS = 120_000
 MARKS = frozenset(".,!?;:")
 
 

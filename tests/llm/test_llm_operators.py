@@ -354,8 +354,10 @@ def test_blocks_of_a_page():
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href="/x">menu</a></nav><header>site</header>
         <div class="ad">buy</div><article><header><h1>A &amp; B</h1></header><p><b>One.<br>Two<p>Three &lt;4&gt;<script>var t="</p>";</script>
         <div class="comments"><p>first!</p></div><ul><li>x<li>y</ul></article><aside>side</aside><footer>&copy;</footer></body>"""
-    assert [t for t, _ in html_extraction.blocks_of(page)] == ["A & B", "One. Two", "Three <4>", "x", "y"]
-    assert html_extraction.blocks_of(None) == [] and html_extraction.blocks_of("a <b>c</b> d")[0][0] == "a c d"
+    assert html_extraction.blocks_of(page) == ["A & B", "One. Two", "Three <4>", "x", "y"]
+    assert html_extraction.blocks_of(None) == [] and html_extraction.blocks_of("a <b>c</b> d") == ["a c d"]
+    assert html_extraction.blocks_of("<script>a</SCRIPT><p>first text</p><script>b</script>") == ["first text"]
+    assert html_extraction.blocks_of('<article><div class="header"><h1>Title</h1></div><p class="no-sidebar">x</p></article>') == ["Title", "x"]
 
 
 def test_templates_go_where_they_recur(spark):
@@ -388,6 +390,49 @@ def test_templates_of_large_hosts(spark):
     assert all(got[i] == "One text under many addresses" for i in range(900, 1100))
 
 
+def test_templates_equal_plain_counts(spark):
+    """The counts against dictionaries, by broadcast and by join; ids stay exact beside nulls."""
+    r = random.Random(11)
+    menus = ["<nav><a>" + "</a><a>".join(prose(6).split()) + "</a></nav>" for _ in range(6)]
+    lines = ["<p>" + prose(8) + "</p>" for _ in range(4)]
+    rows = []
+    for i in range(160):
+        inner = "".join(f"<p>{prose(20)}</p>" for _ in range(r.randint(1, 4))) + lines[0] * (i % 10 < 9) + r.choice(lines[1:])
+        page = f"{r.choice(menus)}<div class='header'>{prose(2)}</div>" + (f"<article>{inner}</article>" if i % 3 else f"<div>{inner}</div>") + f"<div class='share'>{'Share' if i % 2 else prose(2)}</div><footer>{prose(3)}</footer>"
+        rows.append((2**60 + 1 + i, f"http://{'ab'[i % 7 == 0]}.net/{'xy'[i % 2]}/{i}", page, "x"))
+    rows += [(None, *rows[0][1:]), (2**60 + 999, None, None, None)]
+    h = html_extraction
+    once, n, inside, size = {}, Counter(), Counter(), Counter()
+    for _, url, page, _ in rows:
+        host, section = (url.split("/")[2], url.split("/")[3]) if url else ("", "")
+        blocks, elements, layout = h._parse(page)
+        marks = {m for e in elements if e.chars for m in h._marks(e, h._hash(host))}
+        if marks:
+            once.setdefault((host, h.main_text(page)[0]), (marks, [(host, "section", section), (host, "layout", layout)]))
+    for marks, groups in once.values():
+        n.update(marks)
+        size.update(groups)
+        inside.update((m, g) for m in marks for g in groups)
+    need = lambda m: (h.ARTICLE_PAGES, h.ARTICLE_SHARE) if m & 3 == h.STRICT else (h.LEAST_PAGES, h.LEAST_SHARE)
+    gone = {m for m, c in n.items() if m & 3 >= h.HINTED and c >= 2 or m & 3 == h.PLAIN and c >= h.MANY_PAGES}
+    gone |= {m for (m, g), c in inside.items() if m & 3 <= h.STRICT and c >= need(m)[0] and c >= need(m)[1] * size[g]}
+    want = [(i, *h.main_text(page, url.split("/")[2] if url else "", gone)) for i, url, page, _ in rows]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string").repartition(3)
+    for broadcast in (h.BROADCAST, 0):
+        got = [(x.page_id, x.text, x.template_chars, x.named_chars) for x in h.extract(pages, broadcast=broadcast).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(t for *_, t, _ in want) > 5 * sum(k for *_, k in want) and not any(lines[0][3:-4] in t for i, t, *_ in want if i and i % 3)
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    for part in ("<a ", "<div>a", "</section>x", "<b><h1>", "<p><b>", "<li>a<ul>", "<!-- ", "<SCRIPT>"):
+        began = time.time()
+        html_extraction.main_text(part * 30_000)
+        assert time.time() - began < 10, part
+
+
 # ---- top-k -----------------------------------------------------------------------------------------------
 
 
