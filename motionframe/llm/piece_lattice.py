@@ -1,43 +1,51 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
 A text becomes segments: a run of escaped spaces with the word after it. No piece of the vocabulary crosses
-a segment's border (``pieces`` checks that), so a text's ids are its segments' ids in a row.
-
-Lattice: segments are exploded into all substrings of at most the longest piece, joined with the piece
-table, and the edges are grouped by segment. A higher-order fold then walks the edges:
-
-* ``viterbi`` keeps the best path to each position by the sum of scores. It is right for unigram models.
-* ``merged`` is for byte-pair models, as the shipped vocabulary is: their scores are merge ranks, and the
-  path with the greatest sum isn't what such a model encodes. The fold takes the best-scored edge that
-  joins two symbols, again and again, which equals the library's result.
-
-The lattice runs over the ``frequent`` most frequent segments of the whole corpus (a bounded table, counted
-over all documents); it is broadcast, and texts are put together where they are. Segments outside it, or
-longer than a fold's 62 positions, are encoded in place by the same rule with a bounded cache. Nothing is
-left out; the bound only decides where a segment is encoded.
+a segment's border (``pieces`` checks that), so a text's ids are its segments' ids in a row. Every segment,
+frequent or rare, short or long, is encoded by its lattice: all substrings of at most the longest piece are
+equi-joined with the piece table, the edges are grouped by word, and a fold picks the path.
+
+* ``viterbi`` folds the path with the greatest sum of scores, by Spark's higher-order ``aggregate`` over the
+  edges of ``lattice``, a Spark join. It is right for unigram tables.
+* ``encode`` is for byte-pair models, as the shipped vocabulary is: their scores are merge ranks, and the path
+  with the greatest sum isn't what such a model encodes. Its fold takes the best-scored edge that joins two
+  neighbouring symbols, leftmost first among equals, until none is left, which equals the library's result.
+  Words are folded side by side as arrays, inside the task that holds the texts: the same lattice as Spark
+  rows would shuffle some forty edges for each of millions of distinct words.
+
+A word is cut where no edge crosses a place, since no merge can cross it either. What lies between two such
+cuts is folded as a 64-bit mask of symbol borders, or, if it is longer than the mask, by the same rule with a
+heap.
 
 Defined cases: null and empty texts have no ids; characters without a piece become byte pieces; null ids and
-repeated rows are encoded like any others; an empty table gives an empty result; only the id and text
-columns are read.
+repeated rows are encoded like any others; ties between edges go to the left; texts and words of any length
+are encoded whole, words in slices of bounded size; an empty table gives an empty result; only the id and
+text columns are read, so further columns can have any names.
 """
 
 from __future__ import annotations
 
+import heapq
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import ModuleType
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motionframe.llm._common import let, table, written
+from motionframe.llm._common import let, long_id, table, text_id
 
 SPACE = "▁"
-FREQUENT = 200_000
-LONGEST_SEGMENT = 62
-CACHED = 300_000
+#: Words that a worker remembers, and characters of words that are folded side by side.
+CACHED, SLICE = 400_000, 300_000
+#: Borders that fit a mask.
+MASK = 63
+FILTER_BITS = 20
 SEGMENT = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -108,27 +116,6 @@ def _spelled(seg: Column, cuts: Column, edges: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), one)
 
 
-def merged(seg: Column, edges: Column) -> Column:
-    """Byte-pair fold: the state is a bit mask of cuts; a step removes the cut inside the best edge that spans two symbols."""
-    one = F.lit(1).cast("long")
-    bit = lambda k: F.call_function("shiftleft", one, k)
-    ranked = F.transform(
-        F.array_sort(edges, lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).otherwise(x["start"] - y["start"])),
-        lambda e: F.struct(bit(e["start"]).bitwiseOR(bit(e["end"])).alias("ends"), (bit(e["end"]) - bit(e["start"] + 1)).alias("inner")),
-    )
-
-    def folded(r: Column) -> Column:
-        def step(mask: Column, _: Column) -> Column:
-            fits = F.filter(r, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
-            return let(F.get(fits, F.lit(0)), lambda e: F.when(e.isNull(), mask).otherwise(mask.bitwiseAND(F.bitwise_not(e["inner"]))))
-
-        return F.aggregate(F.sequence(F.lit(1), F.length(seg)), bit(F.length(seg) + 1) - 1, step)
-
-    mask = let(ranked, folded)
-    cuts = let(mask, lambda m: F.filter(F.sequence(F.lit(0), F.length(seg)), lambda k: m.bitwiseAND(bit(k)) != 0))
-    return let(cuts, lambda c: _spelled(seg, c, edges))
-
-
 def viterbi(seg: Column, edges: Column, unknown: float = -100.0) -> Column:
     """Unigram fold: for each position the best score and its cuts; a character without a piece costs ``unknown``. Ties go to the longer last piece."""
     kind = "array<struct<score:double,cuts:array<int>>>"
@@ -146,105 +133,193 @@ def viterbi(seg: Column, edges: Column, unknown: float = -100.0) -> Column:
     return let(F.element_at(best, -1)["cuts"], lambda c: _spelled(seg, c, edges))
 
 
-class Encoder(dict):
-    """Ids of a segment by the byte-pair rule, with a bounded cache.
-
-    The rule runs in a byte-pair table whose ranks are the order of the scores, after ranks that first put
-    the bytes of each character together. Segments it leaves in parts that are no pieces (they hold
-    characters without a piece) are merged symbol by symbol.
-    """
+class Lattice(dict):
+    """Ids of words (as little-endian 32-bit numbers) by the lattice of the piece table, for many words at once; a dictionary of words met so far."""
 
-    def __init__(self, normal: dict[str, tuple[float, int]], byte_ids: tuple[int, ...]):
+    def __init__(self, normal: dict[str, tuple[float, int]], byte_ids: tuple[int, ...], longest: int):
         super().__init__()
-        import tiktoken
-
-        self.normal, self.byte_ids = normal, byte_ids
-        ranks: dict[bytes, int] = {}
-        for piece in normal:
-            raw = piece.encode()
-            if len(piece) == 1:
-                for n in range(1, len(raw)):
-                    ranks.setdefault(raw[:n], len(ranks))
-        for piece in sorted((p for p in normal if len(p) == 1), key=lambda p: normal[p][1]):
-            ranks.setdefault(piece.encode(), len(ranks))
-        for b in range(256):
-            ranks.setdefault(bytes([b]), len(ranks))
-        self.first = len(ranks)
-        longer = sorted((p for p in normal if len(p) > 1), key=lambda p: (-normal[p][0], normal[p][1]))
-        for piece in longer:
-            ranks[piece.encode()] = len(ranks)
-        self.ids = {ranks[p.encode()]: i for p, (_, i) in normal.items()}
-        scores = [normal[p][0] for p in longer]
-        # Pieces of equal score are merged from the left, whichever they are; ranks can't say that.
-        self.tied = {self.first + k + d for k in range(len(scores) - 1) if scores[k] == scores[k + 1] for d in (0, 1)}
-        self.pairs = tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-
-    def __missing__(self, seg: str) -> list[int]:
-        if len(self) >= CACHED:
-            self.clear()
-        try:
-            parts = self.pairs.encode_single_piece(seg.encode())
-            ids = None if not self.tied.isdisjoint(parts) else [self.ids[p] for p in parts]
-        except (KeyError, UnicodeEncodeError):
-            ids = None
-        if ids is None:
-            ids = self.symbol_by_symbol(seg)
-        if len(seg) <= LONGEST_SEGMENT:
-            self[seg] = ids
-        return ids
-
-    def symbol_by_symbol(self, seg: str) -> list[int]:
-        normal, symbols = self.normal, list(seg)
-        pairs = [normal.get(a + b) for a, b in zip(symbols, symbols[1:], strict=False)]
-        while True:
-            best = max((k for k, p in enumerate(pairs) if p is not None), key=lambda k: (pairs[k][0], -k), default=None)
-            if best is None:
+        self.normal, self.byte_ids, self.longest = normal, byte_ids, longest
+        self.by_length = []
+        for k in range(1, longest + 1):
+            own = [p for p in normal if len(p) == k]
+            chars = np.frombuffer("".join(own).encode("utf-32-le"), "<u4").reshape(-1, k)
+            keys = self._keys(chars[:, 0].astype(np.uint64), (chars[:, c] for c in range(1, k)))
+            order = np.argsort(keys)
+            seen = np.zeros(1 << FILTER_BITS, bool)
+            seen[keys >> np.uint64(64 - FILTER_BITS)] = True
+            self.by_length.append((keys[order], chars[order], np.array([normal[own[i]][0] for i in order]), np.array([normal[own[i]][1] for i in order], np.int64), seen))
+
+    @staticmethod
+    def _grown(keys: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        return keys + chars
+
+    def _keys(self, keys: np.ndarray, columns) -> np.ndarray:
+        keys = self._grown(keys, np.uint64(1))
+        for c in columns:
+            keys = self._grown(keys, c)
+        return keys
+
+    def edges(self, chars: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, length, score, id) of all pieces among the substrings of words; ``ends`` is the end of each character's word."""
+        at, keys, found = np.arange(len(chars)), self._keys(chars.astype(np.uint64), ()), []
+        for k, (known, spelled, scores, ids, seen) in enumerate(self.by_length, 1):
+            if k > 1:
+                inside = at + k <= ends[at]
+                at, keys = at[inside], keys[inside]
+                keys = self._grown(keys, chars[at + k - 1])
+            if not len(at):
                 break
-            symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
-            del pairs[best]
-            for k in (best - 1, best):
-                if 0 <= k < len(pairs):
-                    pairs[k] = normal.get(symbols[k] + symbols[k + 1])
-        ids: list[int] = []
-        for s in symbols:
-            ids += (normal[s][1],) if s in normal else (self.byte_ids[b] for b in s.encode("utf-8", "surrogatepass"))
-        return ids
-
-
-def frequent_segments(docs: DataFrame, n: int = FREQUENT) -> DataFrame:
-    """The ``n`` most frequent segments of all texts, ties by text."""
-    words = docs.select(F.explode(segments(F.col("text"))).alias("seg")).where(F.length("seg") <= LONGEST_SEGMENT)
-    return words.groupBy("seg").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "seg").limit(n).select("seg")
-
-
-def encode(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+            if not len(known):
+                continue
+            maybe = np.flatnonzero(seen[keys >> np.uint64(64 - FILTER_BITS)])
+            spot = np.minimum(np.searchsorted(known, keys[maybe]), len(known) - 1)
+            hit = known[spot] == keys[maybe]
+            start, spot = at[maybe[hit]], spot[hit]
+            same = (chars[start[:, None] + np.arange(k)] == spelled[spot]).all(1)
+            start, spot = start[same], spot[same]
+            found.append((start, np.full(len(start), k), scores[spot], ids[spot]))
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, np.int64),) * 4
+
+    def borders(self, text: str, chars: np.ndarray, first: np.ndarray, edges: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Whether a symbol begins at each character after all merges; ``first`` marks where words begin."""
+        start, length, score, _ = (x[edges[1] > 1] for x in edges)
+        n = len(chars)
+        crossed = np.zeros(n + 2, np.int64)
+        np.add.at(crossed, start + 1, 1)
+        np.add.at(crossed, start + length, -1)
+        cut = (np.cumsum(crossed)[:n] == 0) | first
+        units = np.flatnonzero(cut)
+        unit = np.cumsum(cut) - 1
+        sizes = np.diff(np.append(units, n))
+        border = np.ones(n, bool)
+        for u in np.flatnonzero(sizes > MASK):
+            border[units[u] : units[u] + sizes[u]] = self.by_heap(text[units[u] : units[u] + sizes[u]])
+        fits = sizes[unit[start]] <= MASK
+        start, length, score = start[fits], length[fits], score[fits]
+        own = unit[start]
+        order = np.lexsort((start, -score, own))
+        own, length = own[order], length[order].astype(np.uint64)
+        left, one = (start[order] - units[own]).astype(np.uint64), np.uint64(1)
+        ends = (one << left) | (one << (left + length))
+        inner = (one << (left + length)) - (one << (left + one))
+        mask = np.full(len(units), np.uint64(2**64 - 1))
+        while len(own):
+            have = mask[own]
+            alive = (have & ends) == ends
+            between = np.bitwise_count(have & inner)
+            fit = np.flatnonzero(alive & (between == 1))
+            if not len(fit):
+                break
+            best = fit[np.append(True, own[fit[1:]] != own[fit[:-1]])]
+            mask[own[best]] &= ~inner[best]
+            going = np.zeros(len(units), bool)
+            going[own[best]] = True
+            keep = alive & (between > 0) & going[own]
+            keep[best] = False
+            own, ends, inner = own[keep], ends[keep], inner[keep]
+        short = sizes[unit] <= MASK
+        place = np.minimum(np.arange(n) - units[unit], MASK).astype(np.uint64)
+        return np.where(short, (mask[unit] >> place) & one == 1, border)
+
+    def by_heap(self, text: str) -> list[bool]:
+        """The borders of one long stretch: the best pair of neighbours is merged first, the left one among equals."""
+        n, normal = len(text), self.normal
+        end, back, border = list(range(1, n + 1)), list(range(-1, n)), [True] * n
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(a: int) -> None:
+            b = end[a]
+            if b < n and end[b] - a <= self.longest and (hit := normal.get(text[a : end[b]])):
+                heapq.heappush(heap, (-hit[0], a, end[b]))
+
+        for a in range(n):
+            offer(a)
+        while heap:
+            _, a, e = heapq.heappop(heap)
+            if border[a] and (b := end[a]) < n and end[b] == e:
+                border[b], end[a] = False, e
+                if e < n:
+                    back[e] = a
+                offer(a)
+                if back[a] >= 0:
+                    offer(back[a])
+        return border
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words that aren't known yet, in slices."""
+        at = 0
+        while at < len(words):
+            size, to = 0, at
+            while to < len(words) and (to == at or size + len(words[to]) <= SLICE):
+                size += len(words[to])
+                to += 1
+            self._slice(words[at:to])
+            at = to
+
+    def _slice(self, words: list[str]) -> None:
+        text = "".join(words)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        stops = np.cumsum(lengths)
+        first = np.zeros(len(chars), bool)
+        first[stops - lengths] = True
+        edges = self.edges(chars, np.repeat(stops, lengths))
+        begin = np.flatnonzero(self.borders(text, chars, first, edges))
+        size = np.diff(np.append(begin, len(chars)))
+        keys = edges[0] * 64 + edges[1]
+        order = np.argsort(keys)
+        spot = np.minimum(np.searchsorted(keys[order], begin * 64 + size), max(len(keys) - 1, 0))
+        ids = edges[3][order][spot] if len(keys) else np.zeros(len(begin), np.int64)
+        missing = keys[order][spot] != begin * 64 + size if len(keys) else np.ones(len(begin), bool)
+        ids[missing] = -1 - chars[begin[missing]].astype(np.int64)
+        cuts = np.searchsorted(begin, stops).tolist()
+        flat, odd, lo = ids.astype("<i4").tobytes(), set(np.searchsorted(stops, begin[missing], "right").tolist()), 0
+        for i, (word, hi) in enumerate(zip(words, cuts, strict=True)):
+            own = flat[4 * lo : 4 * hi]
+            if i in odd:
+                spelled = (((t,) if t >= 0 else (self.byte_ids[b] for b in chr(-1 - t).encode("utf-8", "surrogatepass"))) for t in ids[lo:hi].tolist())
+                own = np.array([x for s in spelled for x in s], "<i4").tobytes()
+            self[word] = own
+            lo = hi
+
+
+def _worker_lattice(shared) -> Lattice:
+    """This process's lattice for a broadcast vocabulary; Python workers serve many tasks."""
+    held = sys.modules.setdefault("_motionframe_lattices", ModuleType("_motionframe_lattices")).__dict__
+    normal, byte_ids, longest, name = shared.value
+    if name not in held:
+        held.update({name: Lattice(normal, byte_ids, longest)})
+    return held[name]
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row of ``docs``."""
-    spark, known = docs.sparkSession, pieces(path)
-    # The limit leaves one partition; the lattice is spread again, and its bounded result collected at once.
-    some = written(frequent_segments(docs, frequent), "segments").repartition("seg")
-    folded = lattice(some, piece_table(spark, known), known.longest).select("seg", merged(F.col("seg"), F.col("edges")).alias("ids"))
-
-    def spelled(seg_ids) -> list[int]:
-        out: list[int] = []
-        for i in seg_ids:
-            out += (i,) if i >= 0 else (known.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
-        return out
-
-    dictionary = spark.sparkContext.broadcast({r["seg"]: spelled(r["ids"]) for r in folded.collect()})  # at most `frequent` entries
-    shared = spark.sparkContext.broadcast((known.normal, known.byte_ids))
+    known = pieces(path)
+    shared = docs.sparkSession.sparkContext.broadcast((known.normal, known.byte_ids, known.longest, path or default_path()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, rare = dictionary.value, Encoder(*shared.value)
+        words = _worker_lattice(shared)
         for f in frames:
-            ids = []
-            for text in f["text"]:
-                own: list[int] = []
-                for seg in SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else ():
-                    own += common.get(seg) or rare[seg]
-                ids.append(own)
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "n_tokens": [len(x) for x in ids], "ids": ids})
+            for lo in range(0, len(f), 1000):  # so many texts at a time
+                part = f.iloc[lo : lo + 1000]
+                cut = [SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in part["text"]]
+                if len(words) > CACHED:
+                    words.clear()
+                words.learn([w for w in set().union(*cut) if w not in words])
+                ids = [np.frombuffer(b"".join(map(words.__getitem__, row)), "<i4") for row in cut]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": [len(x) for x in ids], "ids": ids})
+
+    return long_id(docs.select(text_id("doc_id"), "text").mapInPandas(run, "doc_id string, n_tokens long, ids array<int>"), "doc_id")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>")
+
+def viterbi_segments(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(seg, n, ids) of the distinct segments of ``docs``: how often they stand, and the best path by the sum of piece scores."""
+    known = pieces(path)
+    words = docs.select(F.explode(segments(F.col("text"))).alias("seg")).groupBy("seg").agg(F.count("*").alias("n"))
+    # The lattice keeps the partitioning by segment, so its edges are grouped without a further shuffle.
+    paths = lattice(words.select("seg"), piece_table(docs.sparkSession, known), known.longest).select("seg", viterbi(F.col("seg"), F.col("edges")).alias("ids"))
+    return words.join(paths, "seg").select("seg", "n", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -268,5 +343,16 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_sentencepiece": op4_sentencepiece}
-ORACLE: dict[str, str] = {}
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of ``documents`` decoded from their ids: code points, and a hash of the text."""
+    back = decode(encode(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best paths, by the sum of piece scores, of all segments of ``benchmark``, folded by Spark."""
+    return viterbi_segments(table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op4_sentencepiece": op4_sentencepiece, "piece_round_trip": piece_round_trip, "piece_viterbi": piece_viterbi}
+ORACLE = {"piece_round_trip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents"}

@@ -463,18 +463,33 @@ def test_exact_top_k(spark, monkeypatch):
 # ---- pieces ----------------------------------------------------------------------------------------------
 
 
-def test_pieces_equal_the_library(docs, none):
+def test_pieces_equal_the_library(spark, none):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=piece_lattice.default_path())
-    out = piece_lattice.encode(docs, frequent=60)
+    odd = ["x" * 3000, "=" * 500 + "a" * 70, "日本語のテキスト" * 40, "aé🙂\u200b" * 30, "  two  spaces ", "▁a ▁▁b", "internationalization" * 9, "the" * 40 + " of" * 50]
+    every = TEXTS + odd + ["".join(rng.choice("abcdeést=-▁ \n") for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    # A null id beside ids that only whole numbers can hold.
+    docs = spark.createDataFrame([(2**60 + 1 + i, t, 1) for i, t in enumerate(every)] + [(None, TEXTS[6], 1), (2**60 + 7, TEXTS[6], 1)], "doc_id long, text string, ids int").repartition(2)
+    out = piece_lattice.encode(docs)
     rows = out.collect()
-    assert len(rows) == len(TEXTS) + 2
+    assert len(rows) == len(every) + 2
     for r in rows:
-        assert r.ids == model.encode(TEXTS[r.doc_id if r.doc_id is not None else 6] or "") and r.n_tokens == len(r.ids)
+        assert r.ids == model.encode((every[r.doc_id - 2**60 - 1] if r.doc_id is not None else TEXTS[6]) or "")
+        assert r.n_tokens == len(r.ids)
     back = {r.doc_id: r.text for r in piece_lattice.decode(out.where("doc_id is not null")).collect()}
-    assert all(back[i] == (t or "") for i, t in enumerate(TEXTS))
-    assert piece_lattice.encode(none).count() == 0
+    assert all(back[2**60 + 1 + i] == (t or "").replace("▁", " ") for i, t in enumerate(every))
+    assert piece_lattice.encode(none).count() == 0 and piece_lattice.viterbi_segments(none).count() == 0
+
+
+def test_long_stretches_follow_the_same_rule(monkeypatch):
+    known = piece_lattice.pieces()
+    long, short = (piece_lattice.Lattice(known.normal, known.byte_ids, known.longest) for _ in range(2))
+    words = sorted({SEG for t in TEXTS if t for SEG in piece_lattice.SEGMENT.findall("▁" + t.replace(" ", "▁"))})
+    short.learn(words)
+    monkeypatch.setattr(piece_lattice, "MASK", 0)
+    long.learn(words)
+    assert long == short and set(long) == set(words)
 
 
 def test_viterbi_takes_the_best_path(spark):
