@@ -442,12 +442,12 @@ def test_exact_top_k(spark, monkeypatch):
     g = np.random.default_rng(2)
     centres = g.normal(size=(6, 8))
     rows = [(i, [float(v) for v in centres[i % 6] + 0.1 * g.normal(size=8)]) for i in range(400)]
-    rows += [(1000 + i, [0.5] * 8) for i in range(120)] + [(2000, None), (2050, []), (2100, [1.0, None] + [0.0] * 6), (2150, [float("nan")] * 8), (None, [1.0] * 8), (2200, [3.0, 1.0]), rows[50], (400, [-1e3] * 8)]
+    rows += [(1000 + i, [0.5] * 8) for i in range(120)] + [(2000, None), (2050, []), (2051, [1e8] + [0.0] * 7),  (2100, [1.0, None] + [0.0] * 6), (2150, [float("nan")] * 8), (None, [1.0] * 8), (2200, [3.0, 1.0]), rows[50], (400, [-1e3] * 8)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
     got = defaultdict(list)
     for r in metric_tree.top_k(df, sample_rows=60).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
-    whole = [(i, np.floor(256 * np.pad(np.array(v, float), (0, 8 - len(v)))).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [(i, np.floor(256 * np.pad(np.array(v, float), (0, 8 - len(v)))).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     queries = {}
     for i, v in whole:
         if i % 50 == 0:
