@@ -3,7 +3,7 @@
 Every k-gram of a text is hashed in place and joined with the k-gram positions of a fixed set of licence
 templates. A hit votes for the diagonal (place in the text minus place in the template), so an unbroken
 copy of a template puts all its votes on one diagonal; diagonals that differ by a few words (an insertion
-or a deletion) are merged. A merged run becomes a span when the template's words it covers reach the
+or a deletion) are merged, lone votes included. A merged run becomes a span when the template's words it covers reach the
 template's share; short templates need all their words, phrases need them in a row. Each vote is verified
 by comparing the words themselves.
 
@@ -11,7 +11,8 @@ All of it is DataFrame functions. The template table is fixed text of known size
 hits are shuffled, by document, template and diagonal, and are added up before that.
 
 Defined cases: a null or empty text has no words, no labels, score 0 and null places; null ids stay null;
-repeated rows get equal results each (votes are counted by row, not by id); an empty table gives an empty
+repeated rows get equal results each (votes are counted by row, not by id); ties don't arise, for every label
+and place counts; texts of any length are scanned whole; an empty table gives an empty
 result; only the id and text columns are read, so further columns can have any names.
 """
 
@@ -99,14 +100,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     lines = votes.groupBy("row", "template", "size", "phrase", (F.col("at") - F.col("t_pos")).alias("diagonal")).agg(F.sort_array(F.collect_set("t_pos")).alias("t"))
     lines = lines.withColumns({"first": F.col("diagonal") + F.get("t", F.lit(0)), "last": F.col("diagonal") + F.element_at("t", -1) + (K - 1)})
     whole = lines.where(F.col("phrase") & (F.size("t") == F.col("size") - (K - 1))).select("row", "template", F.col("first").alias("first_word"), F.col("last").alias("last_word"), F.col("size").alias("covered"))
-    # Neighbouring diagonals of a longer template are one run while their drift and the gap stay small. A lone
-    # vote is a gram that the template repeats, on a diagonal of its own, and would part the run.
-    order = Window.partitionBy("row", "template").orderBy("first", "diagonal")
-    gap = F.col("first") - F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    joined = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= DRIFT) & (gap <= REACH)
-    runs = lines.where(~F.col("phrase") & (F.size("t") > 1)).withColumn("fresh", (~F.coalesce(joined, F.lit(False))).cast("int"))
-    runs = runs.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = runs.groupBy("row", "template", "run").agg(F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.flatten(F.collect_list("t")).alias("t"))
+    # Neighbouring diagonals of a longer template are one band; in a band, a run lasts while the gaps stay small. A gram
+    # that the template repeats votes for a far diagonal as well, which is then a band of its own and parts no run.
+    across = Window.partitionBy("row", "template").orderBy("diagonal")
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(across) > DRIFT, F.lit(True)).cast("int")
+    banded = lines.where(~F.col("phrase")).withColumn("far", far).withColumn("band", F.sum("far").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy("row", "template", "band").orderBy("first", "diagonal")
+    gap = F.col("first") - F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = banded.withColumn("fresh", F.coalesce(gap > REACH, F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy("row", "template", "band", "run").agg(F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.flatten(F.collect_list("t")).alias("t"))
     merged = merged.withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("t", lambda x: F.sequence(x, x + (K - 1)))))))
     merged = merged.join(F.broadcast(templates.select("template", "need")), "template").where("covered >= need").select("row", "template", "first_word", "last_word", "covered")
     spans = whole.unionByName(merged).join(F.broadcast(templates.select("template", "label", "phrase", "size")), "template")
@@ -127,4 +129,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_license_scan": op10_license_scan}
-ORACLE: dict[str, str] = {}
+
+
+def _oracle() -> str:
+    """The scan in SQL; words are compared themselves, so no hash is needed."""
+    rows = ", ".join(f"({i}, '{label}', {need}, [{', '.join(f"'{x}'" for x in w)}], {str(phrase).lower()})" for i, label, need, w, phrase in _template_rows())
+    return rf"""
+        WITH t(template, label, need, words, phrase) AS (VALUES {rows}),
+        d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        di AS (SELECT r, w, unnest(range(1, len(w))) AS i FROM d),
+        ti AS (SELECT *, unnest(range(1, len(words))) AS j FROM t),
+        v AS (SELECT DISTINCT r, template, len(words) AS size, phrase, i - j AS diagonal, j - 1 AS p FROM di JOIN ti ON w[i] = words[j] AND w[i + 1] = words[j + 1]),
+        l AS (SELECT r, template, size, phrase, diagonal, diagonal + min(p) AS a, diagonal + max(p) + 1 AS b, list(p) AS ps FROM v GROUP BY r, template, size, phrase, diagonal),
+        whole AS (SELECT r, template, a, size AS covered FROM l WHERE phrase AND len(ps) = size - 1),
+        f AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER x <= {DRIFT} THEN 0 ELSE 1 END AS far FROM l WHERE NOT phrase WINDOW x AS (PARTITION BY r, template ORDER BY diagonal)),
+        g AS (SELECT *, sum(far) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS band FROM f),
+        h AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY r, template, band ORDER BY a, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {REACH} THEN 0 ELSE 1 END AS fresh FROM g),
+        k AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template, band ORDER BY a, diagonal ROWS UNBOUNDED PRECEDING) AS run FROM h),
+        o AS (SELECT r, template, band, run, list_concat(ps, list_transform(ps, lambda q: q + 1)) AS qs FROM k),
+        m AS (SELECT r, template, band, run, len(list_distinct(flatten(list(qs)))) AS covered FROM o GROUP BY r, template, band, run),
+        spans AS (SELECT r, label, phrase, a, covered / len(words) AS share FROM whole JOIN t USING (template)
+                  UNION ALL SELECT r, label, phrase, NULL, covered / len(words) FROM m JOIN t USING (template) WHERE covered >= need),
+        s AS (SELECT r, count(a) AS n, min(a) AS a, max(a) AS b, array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE phrase))), ',') AS base,
+                     array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score FROM spans GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word,
+               coalesce(base, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN s USING (r)"""
+
+
+ORACLE = {"op10_license_scan": _oracle()}
