@@ -1,13 +1,17 @@
 """Token-id matrices: best-fit-decreasing packing with a segment tree over free capacities.
 
-Every task packs runs of its own rows (a run ends at ``run_tokens`` ids), so texts never move between
-executors and memory is bounded by a run. Within a run pieces are placed from the longest to the shortest
+Every task packs runs of its own rows (a run ends at ``run_tokens`` ids), so memory is bounded by a run and
+hardly any text moves between executors. Rows that a run leaves open (more than ``OPEN`` of them free) are
+taken apart and packed again in a second round, in runs of all tasks' leftovers together, so how full the
+rows get doesn't depend on how the table is split. Within a run pieces are placed from the longest to the shortest
 into the open row with the least sufficient room, found by descending a segment tree whose leaves are the
 possible free capacities. A result row is one matrix row: ``ids`` (fixed width, little-endian, padded),
 ``cu_seqlens`` (0 and the cumulative segment lengths), ``resets`` (where position ids start again at 0)
-and the pieces it holds. Concatenated ``ids`` of any rows form an id matrix (``matrix``).
+and the pieces it holds. Concatenated ``ids`` of any rows form an id matrix (``matrix``); ``save`` writes rows as Parquet, one id
+matrix with its cumulative lengths and resets a file.
 
-Documents over the capacity are cut without loss; ``rebuilt`` puts them together again.
+Documents over the capacity are cut without loss; ``rebuilt`` puts them together again. An id that doesn't
+fit ``id_bytes`` is refused with an error.
 
 Defined cases: a null or empty text is its terminator alone; null ids and repeated rows are packed like any
 others; ties in length are placed in the order of the input; an empty table gives an empty result; only
@@ -23,11 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionframe.llm._common import table
+from motionframe.llm._common import table, text_id, written
 from motionframe.llm.tokenizing import default_path, worker_tokenizer
 
 CAPACITY = 2048
 RUN_TOKENS = 4_000_000
+OPEN = 1 / 32
 
 
 class CapacityTree:
@@ -92,14 +97,17 @@ def id_matrix(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
             row = np.full(capacity, pad, kind)
             row[: cuts[-1]] = np.concatenate([p[3] for p in own])
             segments = [{"doc_id": p[0], "piece": p[1], "start": p[2]} for p in own]
-            out.append((int(cuts[-1]), row.tobytes(), cuts.tolist(), cuts[:-1].tolist(), segments))
-        return pd.DataFrame(out, columns=["n_tokens", "ids", "cu_seqlens", "resets", "segments"])
+            out.append((bool(capacity - cuts[-1] > OPEN * capacity), int(cuts[-1]), row.tobytes(), cuts.tolist(), cuts[:-1].tolist(), segments))
+        return pd.DataFrame(out, columns=["open", "n_tokens", "ids", "cu_seqlens", "resets", "segments"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, held, tokens = worker_tokenizer(path), [], 0
         for f in frames:
             for doc, text in zip(f["doc_id"], f["text"], strict=True):
-                ids = np.frombuffer(words.encode(text) + end, "<u4").astype(kind)
+                ids = np.frombuffer(words.encode(text) + end, "<u4")
+                if ids.max() >> (8 * id_bytes):
+                    raise ValueError(f"id {ids.max()} doesn't fit {id_bytes} bytes")
+                ids = ids.astype(kind)
                 doc = None if pd.isna(doc) else int(doc)
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     held.append((doc, k, at, ids[at : at + capacity]))
@@ -110,9 +118,36 @@ def id_matrix(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
         if held:
             yield packed(held)
 
-    schema = "n_tokens int, ids binary, cu_seqlens array<int>, resets array<int>, segments array<struct<doc_id:long,piece:int,start:long>>"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInPandas(run, schema)
-    return rows.select(F.monotonically_increasing_id().alias("sequence_id"), "*")
+    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, tokens = [], 0
+        for f in frames:
+            for doc, piece, start, raw in zip(f["doc_id"], f["piece"], f["start"], f["ids"], strict=True):
+                held.append((None if pd.isna(doc) else int(doc), piece, start, np.frombuffer(raw, kind)))
+                tokens += len(held[-1][3])
+            if tokens >= run_tokens:
+                yield packed(held)
+                held, tokens = [], 0
+        if held:
+            yield packed(held)
+
+    schema = "open boolean, n_tokens int, ids binary, cu_seqlens array<int>, resets array<int>, segments array<struct<doc_id:long,piece:int,start:long>>"
+    first = written(docs.select(text_id("doc_id"), "text").mapInPandas(run, schema), "matrix-rows")
+    left = _pieces(first.where("open"), id_bytes)
+    runs = -(-(first.where("open").agg(F.sum("n_tokens")).first()[0] or 0) // run_tokens)
+    second = left.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(max(runs, 1)).mapInPandas(again, schema)
+    return first.where("not open").unionByName(second).drop("open").select(F.monotonically_increasing_id().alias("sequence_id"), "*")
+
+
+def _pieces(sequences: DataFrame, id_bytes: int) -> DataFrame:
+    """(doc_id, piece, start, ids) of the segments in matrix rows."""
+    parts = sequences.select("ids", "cu_seqlens", F.posexplode("segments").alias("k", "s"))
+    parts = parts.select("s.*", F.get("cu_seqlens", F.col("k")).alias("a"), F.get("cu_seqlens", F.col("k") + 1).alias("b"), "ids")
+    return parts.select("doc_id", "piece", "start", F.substring(F.col("ids"), F.col("a") * id_bytes + 1, (F.col("b") - F.col("a")) * id_bytes).alias("ids"))
+
+
+def save(sequences: DataFrame, folder: str) -> None:
+    """Writes matrix rows: in every file, column ``ids`` is one packed id matrix."""
+    sequences.select("sequence_id", "ids", "cu_seqlens", "resets", "segments").write.parquet(folder)
 
 
 def position_ids(cu_seqlens: list[int], capacity: int = CAPACITY) -> np.ndarray:
@@ -128,11 +163,8 @@ def matrix(rows: Iterable[bytes], id_bytes: int = 2) -> np.ndarray:
 
 def rebuilt(sequences: DataFrame, id_bytes: int = 2) -> DataFrame:
     """(doc_id, ids) again from matrix rows; a group holds one document's pieces."""
-    at = F.posexplode("segments").alias("k", "s")
-    parts = sequences.select("ids", "cu_seqlens", at).select("s.*", F.get("cu_seqlens", F.col("k")).alias("a"), F.get("cu_seqlens", F.col("k") + 1).alias("b"), "ids")
-    cut = F.substring(F.col("ids"), F.col("a") * id_bytes + 1, (F.col("b") - F.col("a")) * id_bytes)
-    whole = F.sort_array(F.collect_list(F.struct("piece", F.hex(cut).alias("h"))))
-    return parts.groupBy("doc_id").agg(whole.alias("p")).select("doc_id", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("ids"))
+    whole = F.sort_array(F.collect_list(F.struct("piece", F.hex("ids").alias("h"))))
+    return _pieces(sequences, id_bytes).groupBy("doc_id").agg(whole.alias("p")).select("doc_id", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("ids"))
 
 
 def op1_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,6 +280,33 @@ def test_token_matrix_round_trip(docs, none):
     assert token_matrix.id_matrix(none).count() == 0
 
 
+def test_fill_does_not_depend_on_the_splits(spark, tmp_path):
+    rows = [(i, prose(rng.randint(3, 90))) for i in range(400)]
+    one, many = (token_matrix.id_matrix(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), capacity=512) for n in (1, 40))
+    assert many.count() <= one.count() + 2
+    token_matrix.save(many, str(tmp_path / "matrix"))
+    back = spark.read.parquet(str(tmp_path / "matrix"))
+    assert token_matrix.matrix([r.ids for r in back.collect()]).shape == (many.count(), 512)
+    with pytest.raises(Exception, match="doesn't fit 1 bytes"):
+        token_matrix.id_matrix(spark.createDataFrame(rows, "doc_id long, text string"), id_bytes=1).count()
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    """2**60 + 1 isn't a float; a batch with a null id must not make it one."""
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, TEXTS[6]), (None, TEXTS[6]), (big, TEXTS[6]), (big + 1, "one"), (None, None)], "doc_id long, text string").coalesce(1)
+    want = Counter([big, None, big, big + 1, None])
+    results = {
+        "op1": [s.doc_id for r in token_matrix.id_matrix(docs).collect() for s in r.segments],
+        "op3": [r.doc_id for r in best_fit_packing.packed_documents(docs).collect()],
+        "op4": [r.doc_id for r in piece_lattice.encode(docs).collect()],
+        "op5": [r.doc_id for r in minhash.near_duplicates(docs, 2, 80).collect()],
+        "op7": [r.page_id for r in html_extraction.extract(docs.selectExpr("doc_id AS page_id", "text AS html", "cast(null AS string) AS url")).collect()],
+    }
+    for name, got in results.items():
+        assert Counter(got) == want, name
+
+
 # ---- licences --------------------------------------------------------------------------------------------
 
 
