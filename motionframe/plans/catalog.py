@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from motionframe.plans import motion
+from motionframe.plans import motion, project  # noqa: F401  registers its queries
 
 FLAGSHIP = "triangulate"
 QUERIES = motion.QUERIES

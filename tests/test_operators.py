@@ -267,8 +267,8 @@ def test_missing_landmarks_of_whole_recordings(spark, tmp_path):
     rows = [(i, start + datetime.timedelta(hours=2 * frame), user, camera, 1.0, '{"k": 1}') for i, (camera, user, frame) in enumerate(seen)]
     events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
-    got = sorted(tuple(r) for r in catalog.QUERIES["missing_landmarks_whole"](spark, str(tmp_path)).select("camera", "name").collect())
+    got = sorted(tuple(r) for r in catalog.QUERIES["missing_landmarks"](spark, str(tmp_path)).select("camera", "name").collect())
     assert got == [("click", "lm2"), ("error", "lm0"), ("error", "lm1"), ("view", "lm1")]
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
-    assert sorted(con.sql(catalog.ORACLE["missing_landmarks_whole"]).fetchall()) == got
+    assert sorted(con.sql(catalog.ORACLE["missing_landmarks"]).fetchall()) == got
