@@ -116,8 +116,21 @@ def natural_key(name: Column, width: int = 12) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, width, "0")).otherwise(p)), "")
 
 
+#: Other spellings of joints, by the name they stand for.
+JOINT_ALIASES = {
+    "left_big_toe_tip": "left_big_toe",
+    "right_big_toe_tip": "right_big_toe",
+    "left_small_toe_tip": "left_small_toe",
+    "right_small_toe_tip": "right_small_toe",
+}
+
+
 def canonical_joint(name: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(name)), r"[\s\-]+", "_")
+    """Lower case with single underscores, sides spelled out, aliases replaced."""
+    plain = F.regexp_replace(F.lower(F.trim(name)), r"[ _\-]+", "_")
+    sided = F.regexp_replace(F.regexp_replace(plain, "^l_", "left_"), "^r_", "right_")
+    known = F.create_map(*(F.lit(x) for pair in JOINT_ALIASES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, sided), sided)
 
 
 def valid_spec(spec: Column) -> Column:
@@ -219,15 +232,22 @@ def cell_verdict(residual: Column, n_cams: Column, good: Column, ok: Column) ->
 # ---- filters, in closed form ---------------------------------------------------------------------------
 
 
+#: Fixed values, as shares of half the frame rate: cutoffs from the first on filter nothing, none is proposed over
+#: the second, and frequencies are read up to the third.
+NO_FILTER, HIGHEST_CUTOFF, HIGHEST_FREQUENCY = 0.98, 0.9, 0.999
+
+
 def kept_fraction(f: Column, cutoff: Column, fps: Column) -> Column:
-    """Gain at frequency ``f`` of a second-order low-pass run forwards and backwards."""
-    r = F.tan(math.pi * f / fps) / F.tan(math.pi * cutoff / fps)
-    return 1 / (1 + F.pow(r, F.lit(4.0)))
+    """Gain at frequency ``f`` of a second-order low-pass run forwards and backwards: 1 without a cutoff, 0 from half the frame rate on."""
+    warped = lambda x: F.tan(math.pi * x / fps)
+    none = cutoff.isNull() | (cutoff <= 0) | (cutoff >= NO_FILTER * fps / 2)
+    return F.when(none, F.lit(1.0)).when(f >= fps / 2, F.lit(0.0)).otherwise(1 / (1 + F.pow(warped(f) / warped(cutoff), F.lit(4.0))))
 
 
 def cutoff_keeping(f: Column, fps: Column, keep: float) -> Column:
-    """The cutoff at which ``f`` keeps a share of its height."""
-    return fps / math.pi * F.atan(F.tan(math.pi * f / fps) / (1 / keep - 1) ** 0.25)
+    """The cutoff at which ``f`` keeps a share of its height, bounded by a share of half the frame rate."""
+    top = F.tan(math.pi * F.least(f, HIGHEST_FREQUENCY * fps / 2) / fps)
+    return F.least(fps / math.pi * F.atan(top / (1 / keep - 1) ** 0.25), HIGHEST_CUTOFF * fps / 2)
 
 
 def edge_width(fps: Column, cutoff: Column) -> Column:
