@@ -227,12 +227,12 @@ def pose_runs_merged(spark, sf):
     return edits.pose_runs_merged(one("click"), one("view"))
 
 
-@query(with_(CELLS) + """, s AS (SELECT frame, avg(x) AS v FROM cells WHERE camera = 'click' GROUP BY frame), t AS (SELECT unnest(range(-500, 1000)) AS t),
+@query(with_(CELLS) + """, s AS (SELECT frame, min(x) AS v FROM cells WHERE camera = 'click' GROUP BY frame), t AS (SELECT unnest(range(-500, 1000)) AS t),
     p AS (SELECT t, 0.75 * t AS f, CAST(floor(0.75 * t) AS BIGINT) AS k FROM t)
-    SELECT t AS frame, round(CASE WHEN f = k THEN a.v ELSE a.v * (1 - (f - k)) + b.v * (f - k) END, 4) AS v FROM p JOIN s a ON a.frame = k LEFT JOIN s b ON b.frame = k + 1 WHERE f = k OR b.v IS NOT NULL""")
+    SELECT t AS frame, round(CASE WHEN f = k THEN a.v ELSE a.v * (1 - (f - k)) + b.v * (f - k) END, 6) AS v FROM p JOIN s a ON a.frame = k LEFT JOIN s b ON b.frame = k + 1 WHERE f = k OR b.v IS NOT NULL""")
 def signal_resampled(spark, sf):
-    s = cells(spark, sf).where("camera = 'click'").groupBy("frame").agg(F.avg("x").alias("v"))
-    return alignment.resampled(s, F.lit(0.75)).select("frame", F.round("v", 4).alias("v"))
+    s = cells(spark, sf).where("camera = 'click'").groupBy("frame").agg(F.min("x").alias("v"))
+    return alignment.resampled(s, F.lit(0.75)).select("frame", r6("v"))
 
 
 # ---- file layouts: tables are written in a layout and read again --------------------------------------------------
