@@ -121,6 +121,27 @@ def test_quality_classifier(spark, none):
     assert all(s == pytest.approx(0.5) for s in quality_classifier.fit(docs, labels.where("false")).scores(np.zeros((2, len(quality_classifier.FEATURES)))))
 
 
+def test_registered_classifier(spark, monkeypatch):
+    """The query's columns against their definitions; held-out rows never reach the model; scores order unseen rows."""
+    good = [prose(60) for _ in range(120)]
+    bad = [" ".join(w + "##" for w in prose(60).split()) for _ in range(120)]
+    rows = list(enumerate(good + bad)) + [(5, good[5]), (5, good[5]), (None, good[0]), (900, None), (901, ""), (902, "w " * 60_000)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    # Held-out rows carry the wrong label, so a model that reads them is a worse one.
+    labels = [(i, int((i < 120) != held(i))) for i in range(240)] + [(7, 1), (7, None), (None, 0)]
+    tables = {"documents": spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, score string"), "labels": spark.createDataFrame(labels, "doc_id long, quality int")}
+    monkeypatch.setattr(quality_classifier, "table", lambda s, d, name: tables[name])
+    out = quality_classifier.op8_quality_classifier(spark, "").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.held_out == held(r.doc_id) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
+    unseen = [(r.score, r.doc_id < 120) for r in out if r.held_out and r.doc_id < 240]
+    assert min(s for s, g in unseen if g) > max(s for s, g in unseen if not g)
+    assert len({r.score for r in out if r.doc_id == 5}) == 1
+    tables["documents"] = tables["documents"].where("false")
+    assert quality_classifier.op8_quality_classifier(spark, "").count() == 0
+
+
 # ---- near-duplicates -------------------------------------------------------------------------------------
 
 
@@ -374,6 +395,26 @@ def test_url_trees_learn_and_compile(spark):
     assert one.trees == () and one.prior == 1.0 and url_filter.fit(labelled.where("false")).prior == 0.0
 
 
+def test_registered_url_filter(spark, monkeypatch):
+    """Verdicts of the query: the rule's where one fits, else the trees', which know the seed words of the sample."""
+    hosts = [f"{a}{b}.net" for a in ("river", "stone", "cloud", "meadow") for b in ("side", "town", "field")] + ["free-bets.com", "casino-win.biz"]
+    urls = [f"https://{h}/{p}" for h in hosts for p in range(20)] + URLS + ["https://free-bets.com/fr/x"] * 2 + ["https://a.net/" + "x/" * 20_000]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, urls[0], "h")], "page_id long, url string, host string")
+    monkeypatch.setattr(url_filter, "table", lambda *_: pages)
+    out = url_filter.op2_url_filter(spark, "").collect()
+    assert len(out) == len(urls) + 1
+    for r in out:
+        if r.rule is None and r.host in hosts:
+            assert r.verdict == ("block" if r.host in ("free-bets.com", "casino-win.biz") else "allow")
+        elif r.rule:
+            assert (r.verdict, r.rule) in url_filter.RULES
+    assert {r.verdict for r in out if r.page_id in (len(urls) - 3, len(urls) - 2)} == {"allow"}
+    labelled = url_filter.seed_labels(pages).collect()
+    assert all(x.blocked is None or x.blocked == any(w in re.split(r"[.\-_]", lower((x.url or "").split("://")[-1].split("/")[0])) for w in url_filter.SEED_WORDS) for x in labelled if x.url and "://" in x.url and "?" not in x.url and "#" not in x.url)
+    monkeypatch.setattr(url_filter, "table", lambda *_: pages.where("false"))
+    assert url_filter.op2_url_filter(spark, "").count() == 0
+
+
 # ---- pages -----------------------------------------------------------------------------------------------
 
 
@@ -540,3 +581,27 @@ def test_viterbi_takes_the_best_path(spark):
     score = {**{i: table[p] for p, i in ids.items()}}
     for r in d.select("seg", piece_lattice.viterbi(d.seg, d.edges).alias("ids")).collect():
         assert sum(score.get(i, -100.0) for i in r.ids) == pytest.approx(brute(r.seg)[0])
+
+
+# ---- SQL -------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op5_minhash_near_dedup", "op6_exact_top_k", "op9_quality_rules", "op10_license_scan", "quality_ablation", "piece_round_trip"])
+def test_equal_to_sql(spark, name):
+    """The registered queries against their SQL on a shared table, near-duplicates by exact sets of all pairs."""
+    import os
+
+    import duckdb
+
+    from motionframe.llm import catalog
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the shared tables")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = catalog.QUERIES[name](spark, sf)
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE[name]})").fetchall()
+    near = lambda row: tuple(round(x, 9) if isinstance(x, float) else x for x in row)
+    assert sorted(map(near, df.collect()), key=repr) == sorted(map(near, want), key=repr)

@@ -41,6 +41,28 @@ def test_run(spark, sf):
     assert {r.doc_id for r in out} >= set(range(41)) - {41} and all(r.offset + r.length <= 2048 for r in out)
 
 
+def test_classifier_drops_what_passes_the_rules(spark, sf):
+    path, rows = sf
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    passed = corpus_pipeline.rules(spark, docs, path)
+    bad = set(range(43, 63))
+    assert bad <= {r.doc_id for r in passed.collect()}
+    left = {r.doc_id for r in corpus_pipeline.classifier(spark, passed, path).collect()}
+    assert not bad & left and set(range(43)) <= left
+
+
+def test_empty_tables(spark, sf, tmp_path):
+    for name, table in (("documents", pq.read_table(f"{sf[0]}/documents.parquet")), ("labels", pq.read_table(f"{sf[0]}/labels.parquet"))):
+        (tmp_path / "none").mkdir(exist_ok=True)
+        (tmp_path / "unlabelled").mkdir(exist_ok=True)
+        pq.write_table(table.slice(0, 0), tmp_path / "none" / f"{name}.parquet")
+        pq.write_table(table.slice(0, 0 if name == "labels" else None), tmp_path / "unlabelled" / f"{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/unlabelled/documents.parquet")
+    passed = corpus_pipeline.rules(spark, docs, str(tmp_path / "unlabelled"))
+    assert corpus_pipeline.classifier(spark, passed, str(tmp_path / "unlabelled")).count() == passed.count()
+
+
 def test_every_operator_is_registered():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in catalog.QUERIES) == 1
