@@ -3,7 +3,7 @@
 Every task packs runs of its own rows (a run ends at ``run_tokens`` ids), so memory is bounded by a run and
 hardly any text moves between executors. Rows that a run leaves open (more than ``OPEN`` of them free) are
 taken apart and packed again in a second round, in runs of all tasks' leftovers together, so how full the
-rows get doesn't depend on how the table is split. Within a run pieces are placed from the longest to the shortest
+rows get doesn't depend on how the table is split; if that needs no fewer rows, the first round stands. Within a run pieces are placed from the longest to the shortest
 into the open row with the least sufficient room, found by descending a segment tree whose leaves are the
 possible free capacities. A result row is one matrix row: ``ids`` (fixed width, little-endian, padded),
 ``cu_seqlens`` (0 and the cumulative segment lengths), ``resets`` (where position ids start again at 0)
@@ -132,10 +132,12 @@ def id_matrix(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
 
     schema = "open boolean, n_tokens int, ids binary, cu_seqlens array<int>, resets array<int>, segments array<struct<doc_id:long,piece:int,start:long>>"
     first = written(docs.select(text_id("doc_id"), "text").mapInPandas(run, schema), "matrix-rows")
-    left = _pieces(first.where("open"), id_bytes)
-    runs = -(-(first.where("open").agg(F.sum("n_tokens")).first()[0] or 0) // run_tokens)
-    second = left.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(max(runs, 1)).mapInPandas(again, schema)
-    return first.where("not open").unionByName(second).drop("open").select(F.monotonically_increasing_id().alias("sequence_id"), "*")
+    opened, tokens = first.where("open").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    left = _pieces(first.where("open"), id_bytes).withColumn("doc_id", F.col("doc_id").cast("string"))
+    second = written(left.repartition(max(-(-tokens // run_tokens), 1)).mapInPandas(again, schema), "matrix-rows")
+    # Long pieces without short ones to fill their gaps can't be packed better; then the first round stands.
+    best = first.where("not open").unionByName(second) if second.count() < opened else first
+    return best.drop("open").select(F.monotonically_increasing_id().alias("sequence_id"), "*")
 
 
 def _pieces(sequences: DataFrame, id_bytes: int) -> DataFrame:
