@@ -270,13 +270,13 @@ def dlc_round_trip(spark, sf):
     return tracks.read_dlc(spark, path)
 
 
-@query(with_(CELLS) + "SELECT 1 AS cam, name, frame, x, y FROM cells WHERE camera = 'click' AND NOT hidden")
+@query(with_(CELLS) + "SELECT 1 AS cam, name, frame, round(x, 6) AS x, round(y, 6) AS y FROM cells WHERE camera = 'click' AND NOT hidden")
 def dltdv_round_trip(spark, sf):
     w = tracks.dltdv_table(cells(spark, sf), NAMES, "click", HEIGHT, 360, flip=False)
     path = _text_file(_with_header(w, spark), spark)
     if tracks.detect(spark, path) != "dltdv":
         raise ValueError("the layout isn't recognized")
-    return tracks.read_dltdv(spark, path, dict(enumerate(NAMES, 1)))
+    return tracks.read_dltdv(spark, path, dict(enumerate(NAMES, 1))).select("cam", "name", "frame", r6("x"), r6("y"))
 
 
 @query(with_(CELLS) + "SELECT frame, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(confidence AS FLOAT) AS confidence, visible, hand_placed, hidden FROM cells WHERE camera = 'click' AND name = 'lm3'")
