@@ -88,12 +88,15 @@ def natural_spline(t: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.interp(at, t, v)
     h = np.diff(t).astype(float)
     n = len(t)
-    m, r = np.zeros((n, n)), np.zeros(n)
-    m[0, 0] = m[-1, -1] = 1
+    slope = np.diff(v) / h
+    # Second derivatives solve a tridiagonal system, swept once down and once up; both ends are 0.
+    over, c = np.zeros(n), np.zeros(n)
     for i in range(1, n - 1):
-        m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        r[i] = 6 * ((v[i + 1] - v[i]) / h[i] - (v[i] - v[i - 1]) / h[i - 1])
-    c = np.linalg.solve(m, r)
+        pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * over[i - 1]
+        over[i] = h[i] / pivot
+        c[i] = (6 * (slope[i] - slope[i - 1]) - h[i - 1] * c[i - 1]) / pivot
+    for i in range(n - 2, 0, -1):
+        c[i] -= over[i] * c[i + 1]
     k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
     a, b = t[k + 1] - at, at - t[k]
     return (c[k] * a**3 + c[k + 1] * b**3) / (6 * h[k]) + (v[k] / h[k] - c[k] * h[k] / 6) * a + (v[k + 1] / h[k] - c[k + 1] * h[k] / 6) * b

@@ -1,7 +1,7 @@
 """Triangulation as a grouped aggregate, leave-one-out blame, reports, incremental recomputation.
 
-A point's linear equations are summed into nine numbers, which combine across tasks before the shuffle,
-and solved in closed form. The camera table is a handful of rows.
+A point's linear equations are summed into nine numbers and solved in closed form. Its observations travel
+as (camera, u, v), one per camera; coefficients are looked up in the camera table, a handful of rows.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionframe.functions.scalars import cell_verdict, dlt_project, residual_bands, solve3
+from motionframe.operators.quantiles import medians
 from motionframe.operators.runs import runs
 
 KEYS = ("name", "frame")
@@ -26,6 +27,11 @@ def _rows(obs: DataFrame, cameras: DataFrame) -> DataFrame:
     return d.withColumns({"__a": F.array(*a), "__b": F.array(*b), "__p": c[3] - u, "__q": c[7] - v})
 
 
+def _coefficients(cameras: DataFrame) -> Column:
+    """The camera table as one map, a scalar subquery, so that no row has to carry coefficients through a shuffle."""
+    return cameras.agg(F.map_from_entries(F.collect_list(F.struct("cam", "coefs")))).scalar()
+
+
 def _terms() -> list[Column]:
     a, b = (lambda k: F.get("__a", F.lit(k))), (lambda k: F.get("__b", F.lit(k)))
     square = [a(i) * a(j) + b(i) * b(j) for i, j in _ATA]
@@ -44,19 +50,19 @@ def triangulate(obs: DataFrame, cameras: DataFrame, least: int = 2, keys: tuple[
     """
     rows = _rows(obs, cameras)
     sums = [F.sum(t).alias(f"__s{i}") for i, t in enumerate(_terms())]
-    seen = F.collect_list(F.struct("cam", "u", "v", "coefs")).alias("__o")
+    seen = F.collect_list(F.struct("cam", "u", "v")).alias("__o")
     d = rows.groupBy(*keys).agg(*sums, F.count("*").cast("int").alias("n_cams"), seen)
     x, y, z = _solved([F.col(f"__s{i}") for i in range(9)])
     enough = F.col("n_cams") >= least
-    d = d.withColumns({"x": F.when(enough, x), "y": F.when(enough, y), "z": F.when(enough, z)})
-    d = d.withColumn("__e", _square_error(F.col("__o"), F.col("x"), F.col("y"), F.col("z")))
+    d = d.withColumns({"x": F.when(enough, x), "y": F.when(enough, y), "z": F.when(enough, z), "__c": _coefficients(cameras)})
+    d = d.withColumn("__e", _square_error(F.col("__o"), F.col("__c"), F.col("x"), F.col("y"), F.col("z")))
     residual = F.sqrt(F.try_divide(F.col("__e"), F.greatest(2 * F.col("n_cams") - 3, F.lit(1)).cast("double")))
     return d.select(*keys, "x", "y", "z", residual.alias("residual"), F.when(enough & F.col("x").isNotNull(), F.col("n_cams")).otherwise(0).alias("n_cams"))
 
 
-def _square_error(seen: Column, x: Column, y: Column, z: Column) -> Column:
+def _square_error(seen: Column, coefs: Column, x: Column, y: Column, z: Column) -> Column:
     def one(o: Column) -> Column:
-        u, v = dlt_project([F.get(o["coefs"], F.lit(i)) for i in range(11)], x, y, z)
+        u, v = dlt_project([F.get(F.element_at(coefs, o["cam"]), F.lit(i)) for i in range(11)], x, y, z)
         return (u - o["u"]) * (u - o["u"]) + (v - o["v"]) * (v - o["v"])
 
     return F.aggregate(F.transform(F.array_sort(seen), one), F.lit(0.0), lambda a, b: a + b)
@@ -70,10 +76,14 @@ def with_verdict(points: DataFrame, width: int, height: int) -> DataFrame:
 def report(points: DataFrame) -> DataFrame:
     """Median residual, solved share and two-camera share, for each name and (NULL) over all."""
     solved = F.col("x").isNotNull()
-    return points.groupingSets([[], ["name"]], "name").agg(
-        F.count("*").alias("n"), F.avg(solved.cast("double")).alias("solved"), F.median("residual").alias("median_residual"),
+    shares = points.groupingSets([[], ["name"]], "name").agg(
+        F.grouping("name").alias("__all"), F.count("*").alias("n"), F.avg(solved.cast("double")).alias("solved"),
         F.avg(F.when(solved, (F.col("n_cams") == 2).cast("double"))).alias("two_cameras"),
     )
+    own = medians(points, F.col("residual"), ("name",)).select(F.lit(0).alias("m_all"), F.col("name").alias("m_name"), "median")
+    middle = own.unionByName(medians(points, F.col("residual")).select(F.lit(1).alias("m_all"), F.lit(None).cast("string").alias("m_name"), "median"))
+    same = (F.col("__all") == F.col("m_all")) & F.col("name").eqNullSafe(F.col("m_name"))
+    return shares.join(middle, same, "left").select("name", "n", "solved", F.col("median").alias("median_residual"), "two_cameras")
 
 
 def leave_one_out(obs: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -86,11 +96,11 @@ def leave_one_out(obs: DataFrame, cameras: DataFrame) -> DataFrame:
     rows = rows.withColumns({f"__t{i}": t for i, t in enumerate(terms)})
     w = Window.partitionBy(*KEYS)
     rest = {f"__s{i}": F.sum(f"__t{i}").over(w) - F.col(f"__t{i}") for i in range(9)}
-    d = rows.withColumns(rest | {"__n": F.count("*").over(w) - 1, "__o": F.collect_list(F.struct("cam", "u", "v", "coefs")).over(w)})
+    d = rows.withColumns(rest | {"__n": F.count("*").over(w) - 1, "__o": F.collect_list(F.struct("cam", "u", "v")).over(w), "__c": _coefficients(cameras)})
     x, y, z = _solved([F.col(f"__s{i}") for i in range(9)])
     d = d.where("__n >= 2").withColumns({"x": x, "y": y, "z": z})
     others = F.filter("__o", lambda o: o["cam"] != F.col("cam"))
-    e = _square_error(others, F.col("x"), F.col("y"), F.col("z"))
+    e = _square_error(others, F.col("__c"), F.col("x"), F.col("y"), F.col("z"))
     u, v = dlt_project([F.get("coefs", F.lit(i)) for i in range(11)], F.col("x"), F.col("y"), F.col("z"))
     residual = F.sqrt(e / F.greatest(2 * F.col("__n") - 3, F.lit(1)))
     return d.select(*KEYS, "cam", residual.alias("rest_residual"), F.hypot(u - F.col("u"), v - F.col("v")).alias("error"))

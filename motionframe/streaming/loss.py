@@ -41,15 +41,27 @@ class LossMachine:
         return [(self.first, frame, self.lost)]
 
 
-def _replayed(f: pd.DataFrame, machine: LossMachine, seen: list[int]) -> tuple[list[tuple[int, bool, int]], list[int]]:
-    """(frame, lost, version) rows for frames in order; ``seen`` are earlier frames that may still be revised."""
+def _replayed(f: pd.DataFrame, machine: LossMachine, seen: list[list[int]]) -> tuple[list[tuple[int, bool, int]], list[list[int]]]:
+    """(frame, lost, version) rows for frames in order; ``seen`` are runs (from, to) of earlier frames that may still be revised.
+
+    Runs keep the state small: while a dip is open, frames off the picture only lengthen the last run.
+    """
     out: list[tuple[int, bool, int]] = []
     for frame, confidence, inside in zip(f["frame"], f["confidence"], f["inside"], strict=True):
-        seen.append(int(frame))
-        for lo, hi, lost in machine.step(int(frame), float(confidence), bool(inside)):
-            out += [(x, lost, int(frame)) for x in seen if lo <= x <= hi]
-        back = machine.first if machine.count else int(frame) + 1
-        seen = [x for x in seen if x >= back]
+        frame = int(frame)
+        if seen and seen[-1][1] + 1 >= frame:
+            seen[-1][1] = max(seen[-1][1], frame)
+        else:
+            seen.append([frame, frame])
+        for lo, hi, lost in machine.step(frame, float(confidence), bool(inside)):
+            if lo == hi:
+                out.append((frame, lost, frame))
+            else:
+                out += [(x, lost, frame) for a, b in seen for x in range(max(a, lo), min(b, hi) + 1)]
+        if not machine.count:
+            seen = []
+        elif seen[0][0] < machine.first:
+            seen = [[max(a, machine.first), b] for a, b in seen if b >= machine.first]
     return out, seen
 
 
@@ -67,12 +79,12 @@ def loss_batch(cells: DataFrame) -> DataFrame:
 
 def loss_stream(cells: DataFrame) -> DataFrame:
     """The same over a stream, in update mode: a revised frame comes again with a higher ``version``; the highest counts."""
-    state = "lost boolean, first long, count int, seen array<long>"
+    state = "lost boolean, first long, count int, seen array<array<long>>"
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         if held.exists:
             lost, first, count, seen = held.get
-            machine, seen = LossMachine(lost, first, count), list(seen)
+            machine, seen = LossMachine(lost, first, count), [list(r) for r in seen]
         else:
             machine, seen = LossMachine(), []
         f = pd.concat(list(frames)).sort_values("frame")

@@ -272,3 +272,29 @@ def test_missing_landmarks_of_whole_recordings(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(con.sql(catalog.ORACLE["missing_landmarks"]).fetchall()) == got
+
+
+def test_medians_equal_exact_ones(spark):
+    from motionframe.operators.quantiles import medians
+
+    rng = np.random.default_rng(2)
+    values = [None, 1.0, 2.5, *rng.normal(0, 100, 40).tolist()]
+    rows = [(None if i % 3 == 0 else i % 3, values[int(rng.integers(len(values)))]) for i in range(3001)] + [(9, None)]
+    d = spark.createDataFrame(rows, "k int, v double")
+    want = {tuple(r) for r in d.groupBy("k").agg(F.median("v")).collect() if r[0] != 9}
+    assert {tuple(r) for r in medians(d, F.col("v"), ("k",)).collect()} == want
+    assert medians(d, F.col("v")).first()[0] == d.agg(F.median("v")).first()[0]
+    assert medians(d.limit(0), F.col("v"), ("k",)).count() == 0 and medians(d.limit(0), F.col("v")).first()[0] is None
+
+
+def test_spline_equals_a_dense_solve():
+    rng = np.random.default_rng(3)
+    t, v = np.cumsum(rng.integers(1, 6, 30)).astype(float), rng.normal(size=30)
+    h, n = np.diff(t), len(t)
+    m, r = np.eye(n), np.zeros(n)
+    for i in range(1, n - 1):
+        m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        r[i] = 6 * ((v[i + 1] - v[i]) / h[i] - (v[i] - v[i - 1]) / h[i - 1])
+    c = np.linalg.solve(m, r)
+    middle = (t[:-1] + t[1:]) / 2
+    assert np.allclose(grouped.natural_spline(t, v, middle), (v[:-1] + v[1:]) / 2 - h**2 * (c[:-1] + c[1:]) / 16)
