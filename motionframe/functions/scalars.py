@@ -318,3 +318,20 @@ def closest_on_polyline(line: Column, px: Column, py: Column) -> Column:
         return F.struct(F.hypot(px - x, py - y).alias("d"), x.alias("x"), y.alias("y"))
 
     return F.when(F.size(line) > 0, F.array_min(F.transform(steps, one)))
+
+
+def resampled_path(path: Column, n: int) -> Column:
+    """``n`` >= 2 points evenly spaced along a polyline of (x, y) structs; a lone point repeats, an empty path gives none."""
+    steps = F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: F.hypot(F.get(path, i)["x"] - F.get(path, i - 1)["x"], F.get(path, i)["y"] - F.get(path, i - 1)["y"]))
+    arc = F.aggregate(steps, F.array(F.lit(0.0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + s)))
+
+    def at(i: Column) -> Column:
+        want = i * F.element_at(arc, -1) / (n - 1)
+        # The last corner at or before the wanted length, but for the end.
+        k = F.least(F.size(F.filter(arc, lambda a: a <= want)), F.size(path) - 1) - 1
+        share = F.coalesce(F.try_divide(want - F.get(arc, k), F.get(arc, k + 1) - F.get(arc, k)), F.lit(0.0))
+        lerp = lambda c: F.get(path, k)[c] + share * (F.get(path, k + 1)[c] - F.get(path, k)[c])
+        return F.struct(lerp("x").alias("x"), lerp("y").alias("y"))
+
+    line = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+    return F.when(F.size(path) >= 2, line).when(F.size(path) == 1, F.array_repeat(F.get(path, F.lit(0)), n)).otherwise(F.slice(path, 1, 0))

@@ -131,6 +131,19 @@ def smoothed(cells: DataFrame, fps: float, cutoff: float | None = None, values:
     return d.groupBy(*keys).applyInPandas(series, kinds + "".join(f", s_{v} double" for v in values))
 
 
+def rhythms(cells: DataFrame, fps: float, value: str, keys: tuple[str, ...] = SERIES) -> DataFrame:
+    """(keys, start, n, rhythm): the dominant frequency of every run, NULL where no peak stands out or the run is short."""
+    d = with_run(cells, keys).select(*keys, "run", "frame", F.col(value).cast("double").alias("__v"))
+    kinds = ", ".join(f"`{k}` {t}" for k, t in d.select(*keys).dtypes)
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("frame")
+        return pd.DataFrame([(*key[:-1], int(f["frame"].iloc[0]), len(f), dominant_rhythm(f["__v"].to_numpy(), fps))], columns=[*keys, "start", "n", "rhythm"]).astype({"rhythm": float})
+
+    found = d.groupBy(*keys, "run").applyInPandas(run, f"{kinds}, start long, n long, rhythm double")
+    return found.withColumn("rhythm", F.nullif(F.col("rhythm"), F.lit(float("nan"))))
+
+
 def keyframes_interpolated(cells: DataFrame, width: int, height: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """Cells made by splines through the hand-placed ones where a series has none, on the picture only, with confidence 0.6."""
 

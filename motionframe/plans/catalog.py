@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from motionframe.plans import formulas, motion, project  # noqa: F401  registers its queries
+from motionframe.plans import formulas, matching, motion, project  # noqa: F401  registers its queries
 
 FLAGSHIP = "triangulate"
 QUERIES = motion.QUERIES

@@ -298,3 +298,50 @@ def test_spline_equals_a_dense_solve():
     c = np.linalg.solve(m, r)
     middle = (t[:-1] + t[1:]) / 2
     assert np.allclose(grouped.natural_spline(t, v, middle), (v[:-1] + v[1:]) / 2 - h**2 * (c[:-1] + c[1:]) / 16)
+
+
+def test_import_claims_in_file_order(spark):
+    from motionframe.operators import imports
+
+    names = ["head", "head", "head", "tail", "Tail", "=nose", "eye", "ball"]
+    wanted = spark.createDataFrame([("a", i, n) for i, n in enumerate(names)], "camera string, ord int, name string")
+    points = [("Tail", False), ("head", False), ("head (2)", False), ("nose", False), ("ball", True)]
+    landmarks = spark.createDataFrame([("a", n, f) for n, f in points] + [("b", "eye", False)], "camera string, name string, fixed boolean")
+    got = {r.ord: (r.target, r.outcome, r.repeated) for r in imports.claims(wanted, landmarks).collect()}
+    assert got == {
+        0: ("head", "updated", False), 1: ("head (2)", "updated", True), 2: ("head (3)", "new", True), 3: ("tail (2)", "new", False),
+        4: ("Tail", "updated", False), 5: ("nose", "updated", False), 6: ("eye", "new", False), 7: (None, "skipped", False),
+    }
+    assert imports.claims(wanted.limit(0), landmarks).count() == 0
+    assert {r.outcome for r in imports.claims(wanted, landmarks.limit(0)).collect()} == {"new"}
+
+
+def test_sound_delay_equals_plain_blocks(spark):
+    from motionframe.operators import sound
+
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=700)
+    b = np.concatenate([np.zeros(9), a])[:650] + 0.1 * rng.normal(size=650)
+    rows = [("p", False, i, float(v)) for i, v in enumerate(a)] + [("p", True, i, float(v)) for i, v in enumerate(b)] + [("quiet", o, i, 0.0) for o in (False, True) for i in range(300)]
+    d = spark.createDataFrame(rows, "pair string, other boolean, i long, v double")
+    curve = sound.correlogram(d, 20, 200)
+    parts = [sound.block_curve(a[s : s + 200], b[s : s + 200], 20, True) for s in range(0, 650 - 200 + 1, 100)]
+    want = sum(w * c for w, c in parts) / sum(w for w, _ in parts)
+    got = {r.lag: (r.c, r.blocks) for r in curve.collect()}
+    assert set(got) == set(range(-20, 21)) and {n for _, n in got.values()} == {len(parts)}
+    assert np.allclose([got[k][0] for k in range(-20, 21)], want)
+    (said,) = sound.delays(curve, 100.0).collect()
+    assert said.pair == "p" and said.delay == pytest.approx(0.09) and said.verdict == "clear"
+
+
+def test_rhythms_of_runs(spark):
+    rows = [("s", i, math.sin(2 * math.pi * 5 * i / 100)) for i in range(200)] + [("s", i, 1.0) for i in range(300, 310)]
+    got = grouped.rhythms(spark.createDataFrame(rows, "source string, frame long, v double"), 100.0, "v", ("source",)).collect()
+    assert {(r.start, r.n, None if r.rhythm is None else round(r.rhythm)) for r in got} == {(0, 200, 5), (300, 10, None)}
+
+
+def test_paths_resampled(spark):
+    rows = [(0, [(0.0, 0.0), (3.0, 4.0), (3.0, 4.0), (3.0, 14.0)]), (1, [(2.0, 1.0)]), (2, []), (3, [(1.0, 1.0), (1.0, 1.0)])]
+    d = spark.createDataFrame(rows, "k int, p array<struct<x: double, y: double>>")
+    got = {r.k: [tuple(p) for p in r.q] for r in d.select("k", S.resampled_path(F.col("p"), 4).alias("q")).collect()}
+    assert got == {0: [(0.0, 0.0), (3.0, 4.0), (3.0, 9.0), (3.0, 14.0)], 1: [(2.0, 1.0)] * 4, 2: [], 3: [(1.0, 1.0)] * 4}
