@@ -80,8 +80,8 @@ def report(points: DataFrame) -> DataFrame:
         F.grouping("name").alias("__all"), F.count("*").alias("n"), F.avg(solved.cast("double")).alias("solved"),
         F.avg(F.when(solved, (F.col("n_cams") == 2).cast("double"))).alias("two_cameras"),
     )
-    own = medians(points, F.col("residual"), ("name",)).select(F.lit(0).alias("m_all"), F.col("name").alias("m_name"), "median")
-    middle = own.unionByName(medians(points, F.col("residual")).select(F.lit(1).alias("m_all"), F.lit(None).cast("string").alias("m_name"), "median"))
+    groups = F.explode(F.array(F.struct(F.lit(0).alias("m_all"), F.col("name").alias("m_name")), F.struct(F.lit(1).alias("m_all"), F.lit(None).cast("string").alias("m_name"))))
+    middle = medians(points.select("residual", groups.alias("g")).select("residual", "g.*"), F.col("residual"), ("m_all", "m_name"))
     same = (F.col("__all") == F.col("m_all")) & F.col("name").eqNullSafe(F.col("m_name"))
     return shares.join(middle, same, "left").select("name", "n", "solved", F.col("median").alias("median_residual"), "two_cameras")
 

@@ -74,14 +74,14 @@ def judged_shifts(spark, sf):
     return verdicts.judged_shifts(d, ("moment",))
 
 
-@query("""WITH s AS (SELECT label AS recording, vec_id * 0.125 AS t, CAST(embedding[1] AS DOUBLE) / 50 AS gx, CAST(embedding[2] AS DOUBLE) / 50 AS gy, 9.0 + CAST(embedding[3] AS DOUBLE) / 50 AS gz FROM embeddings),
+@query("""WITH s AS (SELECT label AS recording, vec_id * 0.125 AS t, CAST(embedding[1] AS DOUBLE) AS gx, CAST(embedding[2] AS DOUBLE) AS gy, 9.0 + CAST(embedding[3] AS DOUBLE) AS gz FROM embeddings),
     u AS (SELECT recording, min(t) AS t0, count(*) AS n, median(gx) AS mx, median(gy) AS my, median(gz) AS mz FROM s GROUP BY recording),
     m AS (SELECT recording, floor((t - t0) / 0.25) AS k, t0, mx, my, mz, avg(gx) AS gx, avg(gy) AS gy, avg(gz) AS gz FROM s JOIN u USING (recording) WHERE n >= 4 GROUP BY ALL),
     o AS (SELECT recording, k, t0, degrees(acos(greatest(least((gx*mx + gy*my + gz*mz) / (sqrt(gx*gx + gy*gy + gz*gz) * sqrt(mx*mx + my*my + mz*mz)), 1), -1))) AS off FROM m),
     g AS (SELECT *, count(*) FILTER (off <= 0.5) OVER (PARTITION BY recording ORDER BY k) AS g FROM o)
     SELECT recording, round(min(t0 + k * 0.25), 6) AS "start", round(max(t0 + (k + 1) * 0.25), 6) AS "end", round(max(off), 5) AS tilt FROM g WHERE off > 0.5 GROUP BY recording, g""")
 def tilt_moves(spark, sf):
-    at = lambda i: F.get("embedding", F.lit(i)).cast("double") / 50
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
     d = read(spark, sf, "embeddings").select(F.col("label").alias("recording"), (F.col("vec_id") * 0.125).alias("t"), at(0).alias("gx"), at(1).alias("gy"), (9.0 + at(2)).alias("gz"))
     return verdicts.tilt_moves(d, "recording").select("recording", r6("start"), r6("end"), F.round("tilt", 5).alias("tilt"))
 
