@@ -64,5 +64,5 @@ def test_empty_tables(spark, sf, tmp_path):
 
 
 def test_every_operator_is_registered():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in catalog.QUERIES) == 1
