@@ -11,7 +11,9 @@
    only, in blocks of bounded size, and give back a spanning forest of their links. Pairs inside a
    component are never made, for they can't change the result.
 
-Bands: 30 of 5 rows miss a pair of similarity 0.8 with probability 7e-6; there is no cap on buckets.
+Bands: 30 of 5 rows miss a pair of similarity 0.8 with probability 7e-6; there is no cap on buckets. Buckets of
+more than a block of unjoined nodes are dealt out by 37 bands of 4 positions that lie apart, which miss a pair
+of the bucket with probability 4e-9, whatever its size.
 
 Defined cases: null, empty and blank texts have no set and are linked with nothing (they stand alone);
 rows without an id take no part (component null, kept); repeated rows have equal sets and fall in one
@@ -91,6 +93,17 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
+def spread_keys(sig: np.ndarray) -> np.ndarray:
+    """Keys of 37 bands of 4 positions for each row of ``sig``; no two positions of a band are in the same one of ``band_keys``."""
+    bands = POSITIONS // 4
+    rows = sig[:, : 4 * bands].reshape(len(sig), 4, bands).astype(np.uint64)
+    key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sig), 1)) << np.uint64(32)
+    for k in range(4):
+        key = (key ^ (key >> np.uint64(31))) * _M1 + rows[:, k]
+    key = (key ^ (key >> np.uint64(32))) * _M2
+    return (key ^ (key >> np.uint64(29))).view(np.int64)
+
+
 def least_matches(percent: int, miss: float = MISS) -> tuple[int, ...]:
     """For each number of compared positions, the fewest matches that don't rule a pair out.
 
@@ -268,24 +281,31 @@ def _mixed(tagged: DataFrame) -> DataFrame:
     return found.where("comps > 1").drop("comps")
 
 
-def _across(buckets: DataFrame, bands: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components that share a bucket, enough to join all that any pair links.
 
     In a bucket, only the nodes outside its largest component have to meet others, so a group of near copies
     whose members mostly joined already costs rows in proportion to its size. Where more than a block stays
-    outside (a passage that many unlike texts share), the bucket's nodes are dealt out again by their other
-    bands: a link shares one band alone with a chance of 1e-4 at the threshold and less above it. What is
-    left is cut into blocks, and every two blocks of a bucket that can hold a link are compared once. A first pass over signatures leaves the nodes that have a surviving pair at all; with their full sets, a
+    outside (a passage that many unlike texts share), the bucket's nodes are dealt out again by ``spread_keys``.
+    What is left is cut into blocks, and every two blocks of a bucket that can hold a link are compared once.
+    A first pass over signatures leaves the nodes that have a surviving pair at all; with their full sets, a
     second pass confirms pairs, the likeliest first, and skips those that confirmed links already join. It
     returns a spanning forest of each block pair, so its rows grow with the nodes and not with the pairs.
     """
+
+    @F.pandas_udf("array<long>")
+    def spread(sig: pd.Series) -> pd.Series:
+        if not len(sig):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(spread_keys(np.frombuffer(b"".join(map(bytes, sig)), "<u2").reshape(len(sig), POSITIONS))))
+
     least = least_matches(percent)
     tagged = buckets.join(labels, "nid", "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp"))
     mixed = written(_mixed(tagged), "mixed")
     rows, wide = tagged.join(mixed, "key"), F.col("m") - F.col("most") > BLOCK
     if not mixed.where(wide).isEmpty():
-        again = rows.where(wide).select("key", "nid", "comp").join(bands.select("nid", F.col("key").alias("second")), "nid").where("second <> key")
-        again = written(again.select(F.xxhash64("key", "second").alias("key"), "nid", "comp"), "second-bands")
+        again = rows.where(wide).select("nid", "comp").distinct().join(sigs, "nid")
+        again = written(again.select(F.explode(spread("sig")).alias("key"), "nid", "comp"), "spread-bands")
         rows = rows.where(~wide).unionByName(again.join(_mixed(again), "key"))
     # Blocks 0 to few - 1 hold the nodes outside the largest component, the others those in it.
     few, many = (F.ceil(c / BLOCK).cast("int") for c in (F.col("m") - F.col("most"), F.col("most")))
@@ -341,7 +361,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     kept = (buckets, sets)
     buckets, star = buckets.select("key", "nid"), buckets.where("nid <> leader").select(F.least("nid", "leader").alias("a"), F.greatest("nid", "leader").alias("b")).distinct()
     labels = connected(_confirmed(_bayes(star, sigs, percent), sets, percent))
-    labels = _merged(labels, _across(buckets, bands.select("key", "nid"), labels, sigs, sets, percent))
+    labels = _merged(labels, _across(buckets, labels, sigs, sets, percent))
     for done in kept:
         release(done)
     grouped = nodes.select("nid", "set_id", "min_doc", "copies").join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
