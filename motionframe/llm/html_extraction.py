@@ -18,8 +18,12 @@ Marks of a subtree, by grade:
   counted like plain ones.
 
 Names of tags and classes break the tie for what no count reaches (hosts of one page, furniture that is on a
-single page): strong names always, hints only outside articles and without a heading. Where blocks are left
-inside an article, the main text is those. Pages with one text (copies under several addresses) count once.
+single page). Outside articles strong names do, and hints on what has no heading. Inside articles names count
+for less: strong tags (``nav``, ``form`` and the like) and whole names on containers (``comments``, not
+``comments-intro``) do, names on paragraphs, headings, lists and tables don't. An ``article`` that is named as
+a comment is one. Where the blocks left in articles hold ``ARTICLE_TEXT`` of the text left, the main text is
+those, else all that is left (in ``main``, if there is any). Text of hidden elements, inline ones too, is
+nowhere part of a block. Pages with one text (copies under several addresses) count once.
 
 Only hashes are shuffled. Template hashes are broadcast if they are at most ``BROADCAST`` and joined by page
 otherwise.
@@ -49,6 +53,7 @@ LEAST_PAGES, LEAST_SHARE = 5, 0.2
 ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.8
 MANY_PAGES = 100
 NAMED_PAGES = 2
+ARTICLE_TEXT = 0.02
 #: So many template hashes (8 bytes each) go to every task at most.
 BROADCAST = 1_000_000
 
@@ -70,6 +75,9 @@ _STRONG_ROLES = frozenset("navigation contentinfo complementary search form dial
 _STRONG = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs footer sidebar cookie cookies consent gdpr comment comments disqus respond newsletter subscribe subscription pagination pager modal".split())
 _HINTS = frozenset("banner header masthead topbar aside notice notices alert replies reply share sharing social related recommended signup login popup overlay widget search toolbar promo promotion".split())
 _NEGATIONS = frozenset("no has with without hide".split())
+_COMMENT = re.compile(r"(?:div-)?comments?|(?:div-)?comment[-_].*")
+#: What a name says of an element: nothing, a hint, furniture, a reader's comment.
+UNNAMED, HINT, FURNITURE, COMMENT = range(4)
 
 
 class _Element:
@@ -99,28 +107,34 @@ class _Element:
         self.parts = self.forms = []
 
     def grade(self) -> int:
-        if self.named == 2:
+        if self.named >= FURNITURE:
             return FORM
-        if self.named == 1:
+        if self.named == HINT:
             return HINTED
         return STRICT if self.tag in ("article", "main") or self.inside == "article" and self.tag in _TEXTUAL else PLAIN
 
 
-def _attributes(raw: str) -> tuple[int, bool, str]:
-    """How class, id and role name an element (2 strongly, 1 by a hint, 0 not), whether it is hidden, its class."""
-    named, hidden, name = 0, False, ""
+def _attributes(raw: str) -> tuple[int, bool, bool, str]:
+    """How class, id and role name an element, whether by a whole name, whether it is hidden, its class."""
+    named, whole, hidden, name = UNNAMED, False, False, ""
     for key, a, b, c in _ATTRIBUTE.findall(raw):
         key, value = key.lower(), (a or b or c).lower()
         if key in ("class", "id"):
             words = _WORDS.split(value)
             words = [w for w, before in zip(words, ["", *words]) if before not in _NEGATIONS]
-            named = max(named, 2 if not _STRONG.isdisjoint(words) else 1 if not _HINTS.isdisjoint(words) else 0)
+            tokens = value.split()
+            if any(map(_COMMENT.fullmatch, tokens)):
+                named = COMMENT
+            named = max(named, FURNITURE if not _STRONG.isdisjoint(words) else HINT if not _HINTS.isdisjoint(words) else UNNAMED)
+            whole |= named == COMMENT or not _STRONG.isdisjoint(tokens)
             name = value if key == "class" else name
         elif key == "role":
-            named = max(named, 2 if value.strip() in _STRONG_ROLES else 1 if value.strip() in ("banner", "alert") else 0)
+            strong = value.strip() in _STRONG_ROLES
+            whole |= strong
+            named = max(named, FURNITURE if strong else HINT if value.strip() in ("banner", "alert") else UNNAMED)
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
-    return named, hidden, name
+    return named, whole, hidden, name
 
 
 def _parse(page: str | None) -> tuple[list[tuple[str, _Element]], list[_Element], str]:
@@ -151,11 +165,12 @@ def _parse(page: str | None) -> tuple[list[tuple[str, _Element]], list[_Element]
             n = comment
         text = page[at : m.start() if m else n]
         if text:
-            text = html.unescape(text) if "&" in text else text
-            pending.append(text)
-            if not stack[-1].unshown and (text := " ".join(text.split())):
-                stack[-1].parts.append(text)
-                stack[-1].chars += len(text)
+            if not stack[-1].unshown:
+                text = html.unescape(text) if "&" in text else text
+                pending.append(text)
+                if text := " ".join(text.split()):
+                    stack[-1].parts.append(text)
+                    stack[-1].chars += len(text)
         if not m:
             break
         at = m.end()
@@ -193,20 +208,22 @@ def _parse(page: str | None) -> tuple[list[tuple[str, _Element]], list[_Element]
             end = _RAW[tag].search(page, at)
             at = (page.find(">", end.end()) + 1 or n) if end else n
             continue
-        named, hidden, name = _attributes(raw) if raw else (0, False, "")
+        named, whole, hidden, name = _attributes(raw) if raw else (UNNAMED, False, False, "")
         up = stack[-1]
         inside = up.inside
         if tag in ("article", "main") and (tag == "article" or not inside):
-            if not inside:
+            if not inside and named != COMMENT:
                 for e in stack:  # a wrapper around the article isn't furniture, whatever its class says
-                    e.named = e.named if e.tag in _STRONG_TAGS else 0
+                    e.named = e.named if e.tag in _STRONG_TAGS or e.named == COMMENT else UNNAMED
             inside = tag
-        if tag in ("html", "body", "main", "article"):
-            named = 0
+        if tag in ("html", "body", "main") or tag == "article" and named != COMMENT:
+            named = UNNAMED
         elif tag in _STRONG_TAGS:
-            named = 2
+            named = max(named, FURNITURE)
         elif tag == "header" and inside != "article":
-            named = max(named, 1)
+            named = max(named, HINT)
+        elif inside == "article" and tag != "article" and (tag in _TEXTUAL or not whole):
+            named = min(named, HINT)
         if inside != "article" and tag in _BLOCKS and tag not in _TEXTUAL:
             layout.add(f"{tag} {name}")
         e = _Element(tag, name, up, named, up.unshown or hidden or tag in _UNSHOWN, inside)
@@ -261,15 +278,19 @@ def _chosen(blocks: list[tuple[str, _Element]], elements: list[_Element], key: i
         found = why[id(e)] if e is not None else 0
         for x in reversed(path):
             if found != 1:
-                alone = x.named == 2 or x.named == 1 and x.inside != "article" and not x.heading
+                alone = x.named >= FURNITURE or x.named == HINT and x.inside != "article" and not x.heading
                 found = 1 if x.gone else found or 2 * alone
             why[id(x)] = found
         return found
 
     causes = [cause(e) for _, e in blocks]
     left = [(t, e.inside) for (t, e), c in zip(blocks, causes) if not c]
-    level = next((a for a in ("article", "main") if any(inside == a for _, inside in left)), "")
-    text = "\n\n".join(t for t, inside in left if not level or inside == level)
+    sizes: Counter[str] = Counter()
+    for t, inside in left:
+        sizes[inside] += len(t)
+    levels = {"article"} if sizes["article"] > ARTICLE_TEXT * sizes.total() else {"article", "main"}
+    levels = levels if levels & sizes.keys() else sizes.keys()
+    text = "\n\n".join(t for t, inside in left if inside in levels)
     return text, *(sum(len(t) for (t, _), c in zip(blocks, causes) if c == k) for k in (1, 2))
 
 

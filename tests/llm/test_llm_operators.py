@@ -418,6 +418,31 @@ def test_registered_url_filter(spark, monkeypatch):
 # ---- pages -----------------------------------------------------------------------------------------------
 
 
+CHOSEN = {
+    '<p>Body one</p><article class="comment"><p>first!</p></article><p>Body two</p>': "Body one\n\nBody two",
+    '<main><h1>Title</h1><article class="comment-body">x</article><p>Body</p></main>': "Title\n\nBody",
+    '<article>The long body</article><div class="comments"><h3>2 comments</h3><article>me too</article></div>': "The long body",
+    "<p>a <span hidden>secret</span> b</p>": "a b",
+    '<p>a <b style="display: none">s</b> b<noscript>n</noscript><label>l</label></p>': "a b",
+    '<article><p class="menu">Menu: fish</p><p class="footer-note">note</p><div id="comments-intro">intro</div><div class="comments"><p>c</p></div><nav>n</nav></article>': "Menu: fish\n\nnote\n\nintro",
+    "<main><p>" + "word " * 99 + "</p><article>x</article></main>": " ".join(["word"] * 99) + "\n\nx",
+    '<div class="menu"><article class="post has-comments comments-open">kept</article></div>': "kept",
+    '<div class="sidebar">side</div><p>all there is</p>': "all there is",
+}
+
+
+def test_registered_html_extraction(spark, monkeypatch):
+    """Texts that the choice of blocks decides, one host each, and the query's columns."""
+    rows = [(k, f"https://h{k}.example/a", p, "t") for k, p in enumerate(CHOSEN)] + [(None, None, None, "t"), (90, "u", "", "t"), (91, "v", "<p>" + "é " * 200_000, "t")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    monkeypatch.setattr(html_extraction, "table", lambda s, d, name: df)
+    got = {r.page_id: r for r in html_extraction.op7_html_extraction(spark, "").collect()}
+    for k, want in enumerate(CHOSEN.values()):
+        assert got[k].text == want and got[k].n_chars == len(want) and got[k].url == f"https://h{k}.example/a"
+    assert got[None].text == got[90].text == "" and got[91].n_chars == 399_999
+    assert html_extraction.extract(df.where("false")).count() == 0
+
+
 def test_blocks_of_a_page():
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href="/x">menu</a></nav><header>site</header>
         <div class="ad">buy</div><article><header><h1>A &amp; B</h1></header><p><b>One.<br>Two<p>Three &lt;4&gt;<script>var t="</p>";</script>
