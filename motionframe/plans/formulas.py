@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from motionframe.operators import alignment, edits, hull, triangulation
 from motionframe.plans.adapter import CELLS, DLT, HEIGHT, calibration, cells, read, with_
 from motionframe.plans.motion import query, r6
 from motionframe.sources import tracks
+from motionframe.sources.scratch import folder
 
 NAMES = [f"lm{i}" for i in range(8)]
 E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
@@ -238,18 +238,9 @@ def signal_resampled(spark, sf):
 # ---- file layouts: tables are written in a layout and read again --------------------------------------------------
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared scratch place; deleted when the driver's JVM ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{root.rstrip('/')}/files/{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 def _text_file(lines: DataFrame, spark: SparkSession) -> str:
     """Writes ordered lines as one file, as these layouts ask for; a file holds one camera's recording."""
-    path = _folder(spark)
+    path = folder(spark, "files")
     lines.coalesce(1).write.text(path)
     return path
 
@@ -281,7 +272,7 @@ def dltdv_round_trip(spark, sf):
 
 @query(with_(CELLS) + "SELECT frame, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(confidence AS FLOAT) AS confidence, visible, hand_placed, hidden FROM cells WHERE camera = 'click' AND name = 'lm3'")
 def own_round_trip(spark, sf):
-    path = _folder(spark)
+    path = folder(spark, "files")
     tracks.write_own(cells(spark, sf).where("camera = 'click'").select("camera", "name", "frame", "x", "y", "confidence", "visible", "hand_placed", "hidden"), path)
     return tracks.read_own(spark, f"{path}/camera=click/name=lm3").select("frame", "x", "y", "confidence", "visible", "hand_placed", "hidden")
 
@@ -298,7 +289,7 @@ def points3d_round_trip(spark, sf):
     SELECT camera, round(o.o - o.r / b.r * b.o, 6) AS "offset", round(o.r / b.r, 6) AS rate FROM o CROSS JOIN b""")
 def offsets_round_trip(spark, sf):
     s = read(spark, sf, "supplier")
-    path, first = _folder(spark), s.agg(F.min("s_suppkey")).first()[0]
+    path, first = folder(spark, "files"), s.agg(F.min("s_suppkey")).first()[0]
     s.select(F.col("s_suppkey").alias("camera"), F.concat(F.lit("s"), "s_suppkey").alias("name"), F.col("s_acctbal").alias("offset"), (1 + F.col("s_nationkey") / 10.0).alias("rate")).write.option("header", True).csv(path)
     return tracks.read_offsets(spark, path, f"s{first}").select("camera", r6("offset"), r6("rate"))
 
