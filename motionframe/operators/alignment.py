@@ -31,10 +31,10 @@ def mapped(cells: DataFrame, cameras: DataFrame, target: str, frames: int | None
     return d.withColumn("target_frame", to if frames is None else F.when((to >= 0) & (to < frames), to)).drop("o", "r", "k")
 
 
-def sampled(cells: DataFrame, cameras: DataFrame, values: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """(camera, name, t, values): linear interpolation at every whole reference instant t.
+def sampled(cells: DataFrame, cameras: DataFrame, values: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
+    """(camera, by, name, t, values): linear interpolation at every whole reference instant t.
 
-    A fraction within 1e-9 of a whole frame is that frame; otherwise both neighbours must be there.
+    ``by`` names columns of ``cameras`` that tell several clocks of one camera apart. A fraction within 1e-9 of a whole frame is that frame; otherwise both neighbours must be there.
     """
     d = cells.join(F.broadcast(cameras), "camera")
     lo = F.ceil((F.col("frame") - 1 - F.col("offset")) / F.col("rate") - 1e-6).cast("long")
@@ -47,8 +47,8 @@ def sampled(cells: DataFrame, cameras: DataFrame, values: tuple[str, ...] = ("x"
     weight = F.when(whole, F.when(F.col("frame") == near, 1.0)).when(F.col("frame") == F.floor(f), 1 - part).when(F.col("frame") == F.floor(f) + 1, part)
     d = d.withColumns({"w": weight, "whole": whole}).where("w is not null")
     sums = [F.sum(F.col("w") * F.col(v)).alias(v) for v in values]
-    got = d.groupBy("camera", "name", "t").agg(*sums, F.count("*").alias("n"), F.bool_or("whole").alias("whole"))
-    return got.where("whole or n = 2").select("camera", "name", "t", *values)
+    got = d.groupBy("camera", *by, "name", "t").agg(*sums, F.count("*").alias("n"), F.bool_or("whole").alias("whole"))
+    return got.where("whole or n = 2").select("camera", *by, "name", "t", *values)
 
 
 def nearest(cells: DataFrame, instants: DataFrame, reach: int = 3) -> DataFrame:

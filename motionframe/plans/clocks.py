@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motionframe.functions.scalars import dlt_project
-from motionframe.operators import clock_search
+from motionframe.operators import clock_search, timing
 from motionframe.plans.adapter import DLT, DLT_SQL, read, with_
 from motionframe.plans.motion import _SUMS, query
 
@@ -84,3 +84,35 @@ def clock_search_round(spark, sf):
     found = clock_search.costs(table, r, [[o + d if c == 1 else o for c, o in enumerate(r.offsets)] for d in _TRIED])
     scored = clock_search._own_cells(table, r)[-1]
     return spark.createDataFrame([(d, scored, f) for d, f in zip(_TRIED, found, strict=True)], "shift double, n long, cost double").select("shift", "n", F.round("cost", 6).alias("cost"))
+
+
+# ---- timing of pairs -----------------------------------------------------------------------------------------
+
+#: Clocks that are right but for the second camera, which is three frames off.
+OFF_BY_THREE = (0.0, 0.30, -2.60, 1.15)
+
+
+def _timed_cameras(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"c{c}", c, off, rate) for c, ((rate, _), off) in enumerate(zip(TRUE, OFF_BY_THREE, strict=True))], "camera string, ord int, offset double, rate double")
+
+
+@query("SELECT * FROM (VALUES ('c0', 0), ('c1', 3), ('c2', 0), ('c3', 0)) t(camera, suggested)")
+def timing_check_finds(spark, sf):
+    """The shift of each camera that the pairs agree on; the oracle is the truth that the tracks were made with."""
+    return timing.timing_check(moving_tracks(spark, sf), _timed_cameras(spark), ("e1", "e2")).select("camera", "suggested")
+
+
+_LATE_SQL = "late(cam, rate, off) AS (VALUES " + ", ".join(f"({c}, {r}::DOUBLE, {o}::DOUBLE)" for c, ((r, _), o) in enumerate(zip(TRUE, OFF_BY_THREE, strict=True))) + ")"
+
+
+@query(with_(MOVING, _LATE_SQL) + """, s AS (SELECT cam, unnest([-3, 0, 3]) AS shift, rate, off FROM late), t AS (SELECT unnest(range(CAST(min(frame) / 2 AS BIGINT) - 10, max(frame) + 11)) AS t FROM moving),
+    f AS (SELECT cam, shift, t, rate * t + off + shift AS f FROM s, t), w AS (SELECT f.cam, shift, t, name FROM f JOIN moving m ON m.cam = f.cam AND name IN ('e1', 'e2') AND m.frame = CASE WHEN abs(f - round(f)) < 1e-9 THEN round(f) ELSE floor(f) END
+        WHERE abs(f - round(f)) < 1e-9 OR EXISTS (SELECT 1 FROM moving h WHERE h.cam = m.cam AND h.name = m.name AND h.frame = floor(f) + 1)),
+    both_ AS (SELECT cam, shift, t FROM w GROUP BY ALL HAVING count(DISTINCT name) = 2)
+    SELECT 'c' || a.cam AS a, 'c' || b.cam AS b, b.shift, count(*) AS n FROM both_ a JOIN both_ b ON a.t = b.t AND a.cam < b.cam AND a.shift = 0 GROUP BY ALL""")
+def timing_rows(spark, sf):
+    """How many instants each pair shares at three shifts."""
+    c = _timed_cameras(spark)
+    left, right = (c.select(F.col("camera").alias(x), F.col("ord").alias(f"o{x}")) for x in "ab")
+    shifts = left.crossJoin(right).where("oa < ob").select("a", "b", F.explode(F.array(F.lit(-3), F.lit(0), F.lit(3))).alias("shift"))
+    return timing.shared_views(moving_tracks(spark, sf), c, ("e1", "e2"), shifts).groupBy("a", "b", "shift").agg(F.count("*").alias("n"))
