@@ -91,14 +91,28 @@ def map_index(x: Column, src_ord: Column, dst_ord: Column) -> Column:
 # ---- names -------------------------------------------------------------------------------------------
 
 
+#: Every character that counts as white space around a name.
+BLANKS = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+
+
 def sanitize(name: Column) -> Column:
-    clean = F.trim(F.translate(F.translate(name, ",\t", "__"), "\n", " "))
+    clean = F.regexp_replace(F.translate(F.translate(name, ",\t", "__"), "\n", " "), f"^[{BLANKS}]+|[{BLANKS}]+$", "")
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit("point"))
 
 
+def casefolded(text: Column) -> Column:
+    """A form in which texts that differ by case alone are equal, by Unicode's full folding (Cherokee in its small letters).
+
+    Capitals of small letters fold what small letters alone don't: sharp and long s, ligatures, variants of
+    Greek letters. The dotless i, which has no fold, sits that out as a private character.
+    """
+    capitals = F.upper(F.translate(F.lower(text), "\u0131", "\ue000"))
+    return F.translate(F.lower(F.translate(capitals, "\ue000", "\u0131")), "\u03c2", "\u03c3")
+
+
 def name_key(name: Column) -> Column:
     """The key by which cameras match landmarks."""
-    return F.lower(sanitize(name))
+    return casefolded(sanitize(name))
 
 
 def formula_safe(name: Column, fallback: str = "point") -> Column:
@@ -215,13 +229,17 @@ def brown_undistort(x: Column, y: Column, k1: Column, k2: Column, k3: Column, p1
 # ---- verdicts ----------------------------------------------------------------------------------------
 
 
+#: The picture side from which pixel limits grow, and the limits of good and usable residuals.
+SCALED_SIDE, GOOD_PIXELS, OK_PIXELS = 1920.0, 1.5, 5.0
+
+
 def residual_scale(width: Column, height: Column) -> Column:
-    return F.greatest(F.lit(1.0), F.greatest(width, height) / 1920.0)
+    return F.greatest(F.lit(1.0), F.greatest(width, height) / SCALED_SIDE)
 
 
 def residual_bands(width: Column, height: Column) -> tuple[Column, Column]:
     s = residual_scale(width, height)
-    return 1.5 * s, 5.0 * s
+    return GOOD_PIXELS * s, OK_PIXELS * s
 
 
 def cell_verdict(residual: Column, n_cams: Column, good: Column, ok: Column) -> Column:

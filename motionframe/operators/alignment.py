@@ -129,34 +129,38 @@ def missing_names(cells: DataFrame) -> DataFrame:
     return every.join(have, ["camera", "name"], "left_anti")
 
 
-def lag_scores(reference: DataFrame, other: DataFrame, max_lag: int, least: int) -> DataFrame:
-    """(lag, n, r): normalised correlation of two series (frame, v) at every lag with enough overlap.
+def lag_scores(reference: DataFrame, other: DataFrame, max_lag: int, least: int = 16, share: float = 0.1) -> DataFrame:
+    """(lag, n, r): normalised correlation of two series (frame, v) at every lag with enough overlap: ``least`` samples and a share of the shorter series.
 
     Each sample is copied to the instants it meets, so one equi-join covers all lags.
     """
     b = other.select(F.col("frame").alias("f2"), F.col("v").alias("b")).withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
     d = reference.select("frame", F.col("v").alias("a")).join(b.withColumn("frame", F.col("f2") - F.col("lag")), "frame")
     score = F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))))
-    return d.groupBy("lag").agg(F.count("*").alias("n"), score.alias("r")).where(F.col("n") >= least)
+    shorter = F.least(reference.agg(F.count("*")).scalar(), other.agg(F.count("*")).scalar())
+    return d.groupBy("lag").agg(F.count("*").alias("n"), score.alias("r")).where(F.col("n") >= F.greatest(F.lit(least), F.floor(share * shorter)))
 
 
 def lag_verdict(scores: DataFrame, rivals: int = 3) -> DataFrame:
-    """(lag, r, margin, verdict): the best lag and how far it stands above all others at least ``rivals`` away."""
+    """(lag, part, r, margin, verdict): the best lag, the fraction by which a parabola through it and its neighbours peaks beside it, and how far it stands above all others at least ``rivals`` away (above 0, if there is none)."""
     best = scores.agg(F.max_by("lag", F.struct("r", -F.col("lag"))).alias("best"), F.max("r").alias("top"))
-    d = scores.join(F.broadcast(best))
+    d = scores.where("r is not null").join(F.broadcast(best))
+    beside = lambda k: F.max(F.when(F.col("lag") == F.col("best") + k, F.col("r")))
     second = F.max(F.when(F.abs(F.col("lag") - F.col("best")) >= rivals, F.col("r")))
-    got = d.agg(F.first("best").alias("lag"), F.first("top").alias("r"), second.alias("second"))
-    margin = F.col("r") - F.coalesce("second", F.lit(-1.0))
+    got = d.agg(F.first("best").alias("lag"), F.first("top").alias("r"), second.alias("second"), beside(-1).alias("before"), beside(1).alias("after"))
+    bend = F.col("before") - 2 * F.col("r") + F.col("after")
+    part = F.when(bend < 0, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), (F.col("before") - F.col("after")) / 2 / bend)))
+    margin = F.col("r") - F.coalesce("second", F.lit(0.0))
     verdict = F.when((F.col("r") >= 0.45) & (margin >= 0.12), "clear").when((F.col("r") >= 0.25) & (margin >= 0.05), "weak").otherwise("none")
-    return got.select("lag", "r", margin.alias("margin"), verdict.alias("verdict"))
+    return got.select("lag", F.coalesce(part, F.lit(0.0)).alias("part"), "r", margin.alias("margin"), verdict.alias("verdict"))
 
 
-def resampled(signal: DataFrame, rate: Column) -> DataFrame:
-    """A series (frame, v) linearly resampled to instants ``frame / rate``; both neighbours must be there."""
+def resampled(signal: DataFrame, rate: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Series (keys, frame, v) linearly resampled to instants ``frame / rate``; both neighbours must be there."""
     lo, hi = F.ceil((F.col("frame") - 1) / rate).cast("long"), F.floor((F.col("frame") + 1) / rate).cast("long")
     d = signal.withColumn("t", F.explode(F.sequence(lo, hi)))
     f = rate * F.col("t")
     part, whole = f - F.floor(f), F.abs(f - F.floor(f + 0.5)) < WHOLE
     w = F.when(whole, F.when(F.col("frame") == F.floor(f + 0.5), 1.0)).when(F.col("frame") == F.floor(f), 1 - part).when(F.col("frame") == F.floor(f) + 1, part)
-    got = d.withColumns({"w": w, "whole": whole}).where("w is not null").groupBy("t").agg(F.sum(F.col("w") * F.col("v")).alias("v"), F.count("*").alias("n"), F.bool_or("whole").alias("whole"))
-    return got.where("whole or n = 2").select(F.col("t").alias("frame"), "v")
+    got = d.withColumns({"w": w, "whole": whole}).where("w is not null").groupBy(*keys, "t").agg(F.sum(F.col("w") * F.col("v")).alias("v"), F.count("*").alias("n"), F.bool_or("whole").alias("whole"))
+    return got.where("whole or n = 2").select(*keys, F.col("t").alias("frame"), "v")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionframe.functions import scalars as S
+from motionframe.operators.quantiles import medians
 
 SEEN = 0.15
 
@@ -103,4 +104,9 @@ def long_angles(wide: DataFrame, angles: list[Angle], keys: tuple[str, ...] = ("
 
 
 def range_of_motion(angles: DataFrame, keys: tuple[str, ...] = ("person",)) -> DataFrame:
-    return angles.groupBy(*keys, "angle").agg(F.min("degrees").alias("lo"), F.max("degrees").alias("hi"), (F.max("degrees") - F.min("degrees")).alias("span"), F.median("degrees").alias("median"))
+    """(keys, angle, lo, hi, span, median) of the degrees that aren't NULL."""
+    by = (*keys, "angle")
+    ends = angles.groupBy(*by).agg(F.min("degrees").alias("lo"), F.max("degrees").alias("hi"), (F.max("degrees") - F.min("degrees")).alias("span"))
+    middle = medians(angles, F.col("degrees"), by)
+    same = [ends[k].eqNullSafe(middle[k]) for k in by]
+    return ends.join(middle, same, "left").select(*(ends[k] for k in by), "lo", "hi", "span", "median")

@@ -92,9 +92,10 @@ def events_clamped(events: DataFrame, frames: int) -> DataFrame:
 
 
 def rebased(cameras: DataFrame) -> DataFrame:
-    """Offsets with the first camera at 0: every offset less its rate times the first one's."""
-    first = cameras.agg(F.min_by("offset", "ord").alias("o0"))
-    return cameras.crossJoin(F.broadcast(first)).withColumn("offset", F.col("offset") - F.col("rate") * F.col("o0")).drop("o0")  # one row
+    """Clocks with the first camera as the reference, at offset 0 and rate 1: rates are divided by its rate, offsets lose their new rate times its offset."""
+    first = cameras.agg(F.min_by(F.struct("offset", "rate"), "ord").alias("__first"))
+    d = cameras.crossJoin(F.broadcast(first)).withColumn("rate", F.col("rate") / F.col("__first.rate"))  # one row
+    return d.withColumn("offset", F.col("offset") - F.col("rate") * F.col("__first.offset")).drop("__first")
 
 
 def last_write_wins(windows: DataFrame, version: str = "window") -> DataFrame:

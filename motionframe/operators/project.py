@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionframe.functions.scalars import exportable, half_up, in_frame, name_key
+from motionframe.operators.quantiles import medians
 from motionframe.operators.runs import SERIES, hand_stretches
+from motionframe.sources.scratch import written
 
 #: Ratios this close (relative) to a fraction with a denominator up to the second number are that fraction.
 RATE_NEAR, RATE_DENOMINATOR = 1e-9, 1000
@@ -263,7 +265,11 @@ def camera_ticks(both: DataFrame, least: int) -> DataFrame:
 
 def outlier_limits(errors: DataFrame, floor: float, keys: tuple[str, ...]) -> DataFrame:
     """(keys, limit): three times the median error, never below ``floor``."""
-    return errors.groupBy(*keys).agg(F.greatest(F.lit(floor), F.coalesce(3 * F.median("error"), F.lit(0.0))).alias("limit"))
+    middle = medians(errors, F.col("error"), keys)
+    groups = errors.select(*keys).distinct()
+    same = [groups[k].eqNullSafe(middle[k]) for k in keys]
+    limit = F.greatest(F.lit(floor), F.coalesce(3 * F.col("median"), F.lit(0.0))).alias("limit")
+    return groups.join(middle, same, "left").select(*(groups[k] for k in keys), limit)
 
 
 def kinematics(moving: DataFrame, width: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
@@ -274,14 +280,19 @@ def kinematics(moving: DataFrame, width: int, keys: tuple[str, ...] = SERIES) ->
     norm = lambda p: F.sqrt(sum(F.col(f"{p}_{c}") * F.col(f"{p}_{c}") for c in "xyz" if f"{p}_{c}" in moving.columns))
     inner = ~F.col("edge")
     d = moving.withColumns({"__s": F.when(inner, norm("v")), "__a": F.when(inner, norm("a"))})
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.max("__s").alias("peak_speed"), F.median("__s").alias("median_speed"), F.max("__a").alias("peak_acceleration"))
+    d = written(d.select(*keys, "__s", "__a"), "speeds")
+    peaks = d.groupBy(*keys).agg(F.count("*").alias("n"), F.max("__s").alias("peak_speed"), F.max("__a").alias("peak_acceleration"))
+    middle = medians(d, F.col("__s"), keys, "median_speed")
+    same = [peaks[k].eqNullSafe(middle[k]) for k in keys]
+    return peaks.join(middle, same, "left").select(*(peaks[k] for k in keys), "n", "peak_speed", "median_speed", "peak_acceleration")
 
 
 def flagged_cells(errors: DataFrame, stretches: DataFrame, threshold: float) -> DataFrame:
     """One row: cells inside the stretches (cam, name, start, end) with an error, their median, largest, and how many are over ``threshold``."""
     keys = stretches.select("cam", "name", F.explode(F.sequence("start", "end")).alias("frame")).distinct()
-    d = errors.join(keys, ["cam", "name", "frame"], "left_semi")
-    return d.agg(F.count("error").alias("n_cells"), F.median("error").alias("median_error"), F.max("error").alias("max_error"), F.count_if(F.col("error") > threshold).alias("n_over"))
+    d = written(errors.join(keys, ["cam", "name", "frame"], "left_semi").select("error"), "flagged")
+    totals = d.agg(F.count("error").alias("n_cells"), F.max("error").alias("max_error"), F.count_if(F.col("error") > threshold).alias("n_over"))
+    return totals.join(medians(d, F.col("error"), name="median_error")).select("n_cells", "median_error", "max_error", "n_over")
 
 
 def setting_problems(infos: DataFrame, settings: list[str], key: str, ratio: float = 2.0, speed: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from motionframe.functions.scalars import cell_verdict, dlt_project, residual_bands, solve3
 from motionframe.operators.quantiles import medians
 from motionframe.operators.runs import runs
+from motionframe.sources.scratch import written
 
 KEYS = ("name", "frame")
 _ATA = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
@@ -75,6 +76,7 @@ def with_verdict(points: DataFrame, width: int, height: int) -> DataFrame:
 
 def report(points: DataFrame) -> DataFrame:
     """Median residual, solved share and two-camera share, for each name and (NULL) over all."""
+    points = written(points.select("name", "x", "residual", "n_cams"), "points")  # read three times
     solved = F.col("x").isNotNull()
     shares = points.groupingSets([[], ["name"]], "name").agg(
         F.grouping("name").alias("__all"), F.count("*").alias("n"), F.avg(solved.cast("double")).alias("solved"),
@@ -86,6 +88,28 @@ def report(points: DataFrame) -> DataFrame:
     return shares.join(middle, same, "left").select("name", "n", "solved", F.col("median").alias("median_residual"), "two_cameras")
 
 
+#: Fixed value: from this share of points that two cameras alone see, the cameras' agreement can't be called good.
+TWO_CAMERA_CAP = 0.9
+
+
+def report_verdict(reported: DataFrame, views: int, width: int, height: int) -> DataFrame:
+    """(verdict, median_residual, worst, worst_residual, capped) of a ``report``: good, ok, poor, or empty where nothing is solved.
+
+    ``worst`` is the landmark with the largest median, of equal ones the first by name. Two cameras can't
+    see an error along the line that joins their views, so mostly two-camera points are never good.
+    """
+    good, ok = residual_bands(F.lit(width), F.lit(height))
+    overall = F.col("name").isNull()
+    of_all = lambda c: F.max(F.when(overall, F.col(c)))
+    some = reported.where(overall | F.col("median_residual").isNotNull())
+    worst = F.min_by(F.struct("name", "median_residual"), F.when(~overall, F.struct(-F.col("median_residual"), F.col("name"))))
+    d = some.agg(of_all("median_residual").alias("median_residual"), of_all("two_cameras").alias("two"), worst.alias("w"))
+    capped = (F.lit(views) <= 2) | (F.col("two") >= TWO_CAMERA_CAP)
+    middle = F.col("median_residual")
+    verdict = F.when(middle.isNull(), "empty").when((middle <= good) & ~capped, "good").when(middle <= ok, "ok").otherwise("poor")
+    return d.select(verdict.alias("verdict"), "median_residual", F.col("w.name").alias("worst"), F.col("w.median_residual").alias("worst_residual"), F.coalesce(capped, F.lit(views <= 2)).alias("capped"))
+
+
 def leave_one_out(obs: DataFrame, cameras: DataFrame) -> DataFrame:
     """(keys, cam, rest_residual, error): the point without camera ``cam``, its residual, and how far ``cam`` is from it in pixels.
 

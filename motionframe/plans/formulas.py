@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionframe.functions import scalars as S
 from motionframe.operators import alignment, edits, hull, triangulation
-from motionframe.plans.adapter import CELLS, DLT, HEIGHT, calibration, cells, read, with_
+from motionframe.plans.adapter import CAMERAS, CELLS, DLT, HEIGHT, calibration, cells, read, with_
 from motionframe.plans.motion import query, r6
 from motionframe.sources import tracks
 from motionframe.sources.scratch import folder
@@ -227,12 +229,12 @@ def pose_runs_merged(spark, sf):
     return edits.pose_runs_merged(one("click"), one("view"))
 
 
-@query(with_(CELLS) + """, s AS (SELECT frame, min(x) AS v FROM cells WHERE camera = 'click' GROUP BY frame), t AS (SELECT unnest(range(-500, 1000)) AS t),
+@query(with_(CELLS) + """, s AS (SELECT camera, frame, min(x) AS v FROM cells GROUP BY camera, frame), t AS (SELECT unnest(range(-500, 1000)) AS t),
     p AS (SELECT t, 0.75 * t AS f, CAST(floor(0.75 * t) AS BIGINT) AS k FROM t)
-    SELECT t AS frame, round(CASE WHEN f = k THEN a.v ELSE a.v * (1 - (f - k)) + b.v * (f - k) END, 6) AS v FROM p JOIN s a ON a.frame = k LEFT JOIN s b ON b.frame = k + 1 WHERE f = k OR b.v IS NOT NULL""")
+    SELECT a.camera, t AS frame, round(CASE WHEN f = k THEN a.v ELSE a.v * (1 - (f - k)) + b.v * (f - k) END, 6) AS v FROM p JOIN s a ON a.frame = k LEFT JOIN s b ON b.camera = a.camera AND b.frame = k + 1 WHERE f = k OR b.v IS NOT NULL""")
 def signal_resampled(spark, sf):
-    s = cells(spark, sf).where("camera = 'click'").groupBy("frame").agg(F.min("x").alias("v"))
-    return alignment.resampled(s, F.lit(0.75)).select("frame", r6("v"))
+    s = cells(spark, sf).groupBy("camera", "frame").agg(F.min("x").alias("v"))
+    return alignment.resampled(s, F.lit(0.75), ("camera",)).select("camera", "frame", r6("v"))
 
 
 # ---- file layouts: tables are written in a layout and read again --------------------------------------------------
@@ -252,36 +254,46 @@ def _with_header(table: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(-1, ",".join(table.columns))], "ord long, value string").union(lines).orderBy("ord").select("value")
 
 
-_CLICK = with_(CELLS) + "SELECT name, frame, x, y, confidence FROM cells WHERE camera = 'click' AND NOT hidden"
+_FILES = [c for c, *_ in CAMERAS]
+
+
+def _each_camera(one) -> DataFrame:
+    """Union over the cameras (a handful), each with a file of its own."""
+    parts = [one(c).withColumn("camera", F.lit(c)) for c in _FILES]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query(_CLICK)
+@query(with_(CELLS) + "SELECT camera, name, frame, x, y, confidence FROM cells WHERE NOT hidden")
 def dlc_round_trip(spark, sf):
-    path = _text_file(tracks.dlc_lines(cells(spark, sf), NAMES, "click"), spark)
-    return tracks.read_dlc(spark, path)
+    c = cells(spark, sf).persist()
+    return _each_camera(lambda camera: tracks.read_dlc(spark, _text_file(tracks.dlc_lines(c, NAMES, camera), spark)))
 
 
-@query(with_(CELLS) + "SELECT 1 AS cam, name, frame, round(x, 6) AS x, round(y, 6) AS y FROM cells WHERE camera = 'click' AND NOT hidden")
+@query(with_(CELLS) + "SELECT camera, 1 AS cam, name, frame, round(x, 6) AS x, round(y, 6) AS y FROM cells WHERE NOT hidden")
 def dltdv_round_trip(spark, sf):
-    w = tracks.dltdv_table(cells(spark, sf), NAMES, "click", HEIGHT, 360, flip=False)
-    path = _text_file(_with_header(w, spark), spark)
-    if tracks.detect(spark, path) != "dltdv":
-        raise ValueError("the layout isn't recognized")
-    return tracks.read_dltdv(spark, path, dict(enumerate(NAMES, 1))).select("cam", "name", "frame", r6("x"), r6("y"))
+    c = cells(spark, sf).persist()
+
+    def one(camera: str) -> DataFrame:
+        path = _text_file(_with_header(tracks.dltdv_table(c, NAMES, camera, HEIGHT, 360, flip=False), spark), spark)
+        if tracks.detect(spark, path) != "dltdv":
+            raise ValueError("the layout isn't recognized")
+        return tracks.read_dltdv(spark, path, dict(enumerate(NAMES, 1))).select("cam", "name", "frame", r6("x"), r6("y"))
+
+    return _each_camera(one)
 
 
-@query(with_(CELLS) + "SELECT frame, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(confidence AS FLOAT) AS confidence, visible, hand_placed, hidden FROM cells WHERE camera = 'click' AND name = 'lm3'")
+@query(with_(CELLS) + "SELECT camera, name, frame, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(confidence AS FLOAT) AS confidence, visible, hand_placed, hidden FROM cells")
 def own_round_trip(spark, sf):
     path = folder(spark, "files")
-    tracks.write_own(cells(spark, sf).where("camera = 'click'").select("camera", "name", "frame", "x", "y", "confidence", "visible", "hand_placed", "hidden"), path)
-    return tracks.read_own(spark, f"{path}/camera=click/name=lm3").select("frame", "x", "y", "confidence", "visible", "hand_placed", "hidden")
+    tracks.write_own(cells(spark, sf).select("camera", "name", "frame", "x", "y", "confidence", "visible", "hand_placed", "hidden"), path)
+    return tracks.read_own(spark, path, ("camera", "name")).select("camera", "name", "frame", "x", "y", "confidence", "visible", "hand_placed", "hidden")
 
 
-@query("SELECT 'e' || label AS name, vec_id AS frame, " + ", ".join(f"any_value(CAST(embedding[{i + 1}] AS DOUBLE)) AS {c}" for i, c in enumerate("xyz")) + " FROM embeddings WHERE label < 4 GROUP BY 1, 2")
+@query("SELECT 'e' || label AS name, vec_id AS frame, " + ", ".join(f"any_value(CAST(embedding[{i + 1}] AS DOUBLE)) AS {c}" for i, c in enumerate("xyz")) + " FROM embeddings GROUP BY 1, 2")
 def points3d_round_trip(spark, sf):
-    e = read(spark, sf, "embeddings").where("label < 4").select(F.concat(F.lit("e"), "label").alias("name"), F.col("vec_id").alias("frame"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
-    w = tracks.points3d_table(e, [f"e{i}" for i in range(4)])
-    path = _text_file(_with_header(w, spark), spark)
+    e = read(spark, sf, "embeddings").select(F.concat(F.lit("e"), "label").alias("name"), F.col("vec_id").alias("frame"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
+    names = sorted(r["name"] for r in e.select("name").distinct().collect())  # landmarks, a handful
+    path = _text_file(_with_header(tracks.points3d_table(e, names), spark), spark)
     return tracks.read_points3d(spark, path).select("name", "frame", "x", "y", "z")
 
 
@@ -294,8 +306,9 @@ def offsets_round_trip(spark, sf):
     return tracks.read_offsets(spark, path, f"s{first}").select("camera", r6("offset"), r6("rate"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({c}, {i}, CAST({v} AS DOUBLE))" for c, k in enumerate(DLT) for i, v in enumerate(k)) + ") t(cam, i, v)")
+@query("WITH k(i, v) AS (VALUES " + ", ".join(f"({i}, {v}::DOUBLE)" for i, v in enumerate(DLT[0])) + ") SELECT CAST(row_number() OVER (PARTITION BY i ORDER BY s_suppkey) - 1 AS INTEGER) AS cam, i, v * s_acctbal AS v FROM supplier, k")
 def dlt_round_trip(spark, sf):
-    k = calibration(spark).select("cam", F.posexplode("coefs").alias("i", "v")).groupBy("i").pivot("cam", list(range(len(DLT)))).agg(F.first("v")).orderBy("i")
-    path = _text_file(k.select(F.concat_ws(",", *(F.col(f"`{c}`").cast("string") for c in range(len(DLT)))).alias("value")), spark)
-    return tracks.read_dlt_csv(spark, path).select(F.col("cam").cast("int").alias("cam"), F.posexplode("coefs").alias("i", "v"))
+    """One column of coefficients for each supplier, its balance times those of a camera."""
+    s = read(spark, sf, "supplier").select("s_suppkey", F.posexplode(F.array(*(F.lit(v) * F.col("s_acctbal") for v in DLT[0]))).alias("i", "v"))
+    lines = s.groupBy("i").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "v"))), lambda x: x["v"].cast("string")), ",").alias("value")).orderBy("i").select("value")
+    return tracks.read_dlt_csv(spark, _text_file(lines, spark)).select(F.col("cam").cast("int").alias("cam"), F.posexplode("coefs").alias("i", "v"))

@@ -56,9 +56,17 @@ def export_one_based(spark, sf):
     return reshape.one_based(cells(spark, sf), HEIGHT)
 
 
-@query("""SELECT s_suppkey, lower(trim(replace(replace(s_name, ',', '_'), '#', '_'))) AS k FROM supplier""")
+#: Names as they are met, and the key each must get.
+_SPELLED = (("Stra\u00dfe", "strasse"), ("\u017fam", "sam"), ("\u00a0NOSE,tip", "nose_tip"), ("\u03a3\u03af\u03c3\u03c5\u03c6\u03bf\u03c2", "\u03c3\u03af\u03c3\u03c5\u03c6\u03bf\u03c3"), ("\ufb03n", "ffin"), ("\u0131x", "\u0131x"), (" \t ", "_"), ("\u3000", "point"), ("\u1e9e", "ss"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 9 " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(_SPELLED)) + " END || CASE WHEN s_suppkey % 9 IN (6, 7) THEN '' ELSE ' ' || regexp_extract(s_name, '[0-9]+') END AS k FROM supplier")
 def name_keys(spark, sf):
-    return read(spark, sf, "supplier").select("s_suppkey", S.name_key(F.translate("s_name", "#", "_")).alias("k"))
+    s = read(spark, sf, "supplier")
+    i = (F.col("s_suppkey") % 9).cast("int")
+    spelled = F.get(F.array(*(F.lit(n) for n, _ in _SPELLED)), i)
+    number = F.when(i.isin(6, 7), "").otherwise(F.concat(F.lit(" "), F.regexp_extract("s_name", "[0-9]+", 0), F.lit("\u2009")))
+    return s.select("s_suppkey", S.name_key(F.concat(spelled, number)).alias("k"))
 
 
 @query(with_(CELLS, CAMERA) + """SELECT camera, name, frame,
@@ -289,7 +297,7 @@ def missing_landmarks(spark, sf):
 
 _LAGS = """a AS (SELECT frame, c AS v FROM clean WHERE source = 'click'), b AS (SELECT frame, c AS v FROM clean WHERE source = 'view'),
     lags AS (SELECT unnest(range(-20, 21)) AS lag),
-    sc AS (SELECT lag, count(*) AS n, sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS r FROM lags JOIN a ON true JOIN b ON b.frame = a.frame + lag GROUP BY lag HAVING count(*) >= 16)"""
+    sc AS (SELECT lag, count(*) AS n, sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS r FROM lags JOIN a ON true JOIN b ON b.frame = a.frame + lag GROUP BY lag HAVING count(*) >= greatest(16, floor(0.1 * least((SELECT count(*) FROM a), (SELECT count(*) FROM b)))))"""
 
 
 def _lag_scores(spark, sf):
@@ -302,11 +310,11 @@ def xcorr_lag(spark, sf):
     return _lag_scores(spark, sf).select("lag", "n", F.round("r", 4).alias("r"))
 
 
-@query(with_(CELLS, _SIGNAL, _CLEAN, _LAGS) + """, best AS (SELECT lag, r FROM sc ORDER BY r DESC, lag LIMIT 1), m AS (SELECT b.lag, b.r, b.r - coalesce((SELECT max(r) FROM sc WHERE abs(sc.lag - b.lag) >= 3), -1) AS margin FROM best b)
-    SELECT lag, round(r, 4) AS r, round(margin, 4) AS margin, CASE WHEN r >= 0.45 AND margin >= 0.12 THEN 'clear' WHEN r >= 0.25 AND margin >= 0.05 THEN 'weak' ELSE 'none' END AS verdict FROM m""")
+@query(with_(CELLS, _SIGNAL, _CLEAN, _LAGS) + """, best AS (SELECT lag, r FROM sc ORDER BY r DESC, lag LIMIT 1), m AS (SELECT b.lag, b.r, b.r - coalesce((SELECT max(r) FROM sc WHERE abs(sc.lag - b.lag) >= 3), 0) AS margin, (SELECT r FROM sc WHERE sc.lag = b.lag - 1) AS r0, (SELECT r FROM sc WHERE sc.lag = b.lag + 1) AS r1 FROM best b)
+    SELECT lag, round(coalesce(CASE WHEN r0 + r1 < 2 * r THEN greatest(least((r0 - r1) / (2 * (r0 + r1 - 2 * r)), 0.5), -0.5) END, 0), 4) AS part, round(r, 4) AS r, round(margin, 4) AS margin, CASE WHEN r >= 0.45 AND margin >= 0.12 THEN 'clear' WHEN r >= 0.25 AND margin >= 0.05 THEN 'weak' ELSE 'none' END AS verdict FROM m""")
 def lag_verdict(spark, sf):
     v = alignment.lag_verdict(_lag_scores(spark, sf))
-    return v.select("lag", F.round("r", 4).alias("r"), F.round("margin", 4).alias("margin"), "verdict")
+    return v.select("lag", F.round("part", 4).alias("part"), F.round("r", 4).alias("r"), F.round("margin", 4).alias("margin"), "verdict")
 
 
 # ---- triangulation -----------------------------------------------------------------------------------------
@@ -341,6 +349,14 @@ def reconstruction_report(spark, sf):
     return triangulation.report(_points(spark, sf)).select("name", "n", r6("solved"), r6("median_residual"), r6("two_cameras"))
 
 
+@query(with_(OBSERVED, DLT_SQL, _SUMS) + """, m AS (SELECT name, median(residual) AS r FROM point WHERE residual IS NOT NULL GROUP BY name)
+    SELECT CASE WHEN count(residual) = 0 THEN 'empty' WHEN median(residual) <= 1.5 AND avg(CASE WHEN n_cams <= 2 THEN 1 ELSE 0 END) FILTER (residual IS NOT NULL) < 0.9 THEN 'good' WHEN median(residual) <= 5 THEN 'ok' ELSE 'poor' END AS verdict, round(median(residual), 6) AS median_residual,
+        (SELECT name FROM m ORDER BY r DESC, name LIMIT 1) AS worst, (SELECT round(max(r), 6) FROM m) AS worst_residual, avg(CASE WHEN n_cams <= 2 THEN 1 ELSE 0 END) FILTER (residual IS NOT NULL) >= 0.9 AS capped FROM point""")
+def reconstruction_verdict(spark, sf):
+    v = triangulation.report_verdict(triangulation.report(_points(spark, sf)), 4, 1280, 720)
+    return v.select("verdict", r6("median_residual"), "worst", r6("worst_residual"), "capped")
+
+
 @query(with_(OBSERVED, DLT_SQL, _SUMS) + _POINTS.format(""))
 def incremental_equals_full(spark, sf):
     """Old points of which a span was lost, brought up to date: the result is that of the full computation."""
@@ -465,9 +481,11 @@ def overlap_last_write_wins(spark, sf):
     return edits.last_write_wins(c.where(F.floor(F.col("frame") / 8) - F.col("window") >= 0).withColumn("x", F.col("x") + F.col("window")))
 
 
-@query(with_(CAMERA) + "SELECT camera, off - rate * (SELECT off FROM camera WHERE ord = 1) AS \"offset\" FROM camera WHERE ord >= 1")
+@query("WITH b AS (SELECT * FROM supplier WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier)) SELECT s.s_suppkey AS camera, round(s.s_acctbal - (1 + s.s_nationkey / 25.0) / (1 + b.s_nationkey / 25.0) * b.s_acctbal, 6) AS \"offset\", round((1 + s.s_nationkey / 25.0) / (1 + b.s_nationkey / 25.0), 6) AS rate FROM supplier s, b")
 def rebase_clock(spark, sf):
-    return edits.rebased(cameras(spark).where("ord >= 1")).select("camera", "offset")
+    """The clocks of a rig, a camera for each supplier, once the first one is the reference."""
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("camera"), F.col("s_suppkey").alias("ord"), F.col("s_acctbal").alias("offset"), (1 + F.col("s_nationkey") / 25.0).alias("rate"))
+    return edits.rebased(s).select("camera", r6("offset"), r6("rate"))
 
 
 # ---- forms and ranks -------------------------------------------------------------------------------------------
@@ -530,28 +548,29 @@ def range_of_motion(spark, sf):
     return rom(cells(spark, sf).select("camera", F.col("name").alias("angle"), F.col("y").alias("degrees")), ("camera",)).withColumnRenamed("angle", "name")
 
 
-_MASKS = ((0, 500, 780, 250, 470), (1, 500, 780, 250, 470), (2, 480, 800, 250, 480), (3, 500, 790, 240, 470))
 _VOTES = """grid AS (SELECT ix, iy, iz, -0.6 + (ix + 0.5) * 0.1 AS x, -0.6 + (iy + 0.5) * 0.1 AS y, -0.6 + (iz + 0.5) * 0.1 AS z FROM (SELECT unnest(range(0, 12)) AS ix), (SELECT unnest(range(0, 12)) AS iy), (SELECT unnest(range(0, 12)) AS iz)),
-    mask(cam, u0, u1, v0, v1) AS (VALUES """ + ", ".join(map(str, _MASKS)) + """),
+    mask AS (SELECT cam, CAST(floor(avg(u) - 2 * stddev_pop(u)) AS INT) AS u0, CAST(floor(avg(u) + 2 * stddev_pop(u)) AS INT) AS u1, CAST(floor(avg(v) - 2 * stddev_pop(v)) AS INT) AS v0, CAST(floor(avg(v) + 2 * stddev_pop(v)) AS INT) AS v1 FROM observed GROUP BY cam),
     pix AS (SELECT g.*, u0, u1, v0, v1, floor((l1*x+l2*y+l3*z+l4)/(l9*x+l10*y+l11*z+1) + 0.5) AS pu, floor((l5*x+l6*y+l7*z+l8)/(l9*x+l10*y+l11*z+1) + 0.5) AS pv FROM grid g, dlt JOIN mask USING (cam)),
     vote AS (SELECT ix, iy, iz, x, y, z, count(*) FILTER (pu >= 0 AND pu < 1280 AND pv >= 0 AND pv < 720 AND pu BETWEEN u0 AND u1 AND pv BETWEEN v0 AND v1) AS inside, count(*) FILTER (pu >= 0 AND pu < 1280 AND pv >= 0 AND pv < 720) AS seen FROM pix GROUP BY ix, iy, iz, x, y, z)"""
 
 
-def _votes(spark):
+def _votes(spark, sf):
+    """Masks are boxes of two deviations around the observed pixels of each camera."""
     grid = hull.voxels(spark, (-0.6, -0.6, -0.6), (12, 12, 12), 0.1)
-    masks = spark.createDataFrame(list(_MASKS), "cam int, u0 int, u1 int, v0 int, v1 int")
+    end = lambda c, k: F.floor(F.avg(c) + k * F.stddev_pop(c)).cast("int").alias(f"{c}{int(k > 0)}")
+    masks = observations(spark, sf).groupBy("cam").agg(*(end(c, k) for c in "uv" for k in (-2, 2)))
     return hull.votes(grid, calibration(spark), masks, 1280, 720)
 
 
-@query(with_(DLT_SQL, _VOTES) + "SELECT ix, iy, iz, inside, seen FROM vote WHERE inside >= 3 AND inside >= seen - 1 AND seen > 0")
+@query(with_(OBSERVED, DLT_SQL, _VOTES) + "SELECT ix, iy, iz, inside, seen FROM vote WHERE inside >= 3 AND inside >= seen - 1 AND seen > 0")
 def hull_votes(spark, sf):
-    return hull.carved(_votes(spark), 3, 1).select("ix", "iy", "iz", "inside", "seen")
+    return hull.carved(_votes(spark, sf), 3, 1).select("ix", "iy", "iz", "inside", "seen")
 
 
-@query(with_(DLT_SQL, _VOTES) + """SELECT round(count(*) * 0.001, 6) AS volume, round(avg(x), 6) AS x_mean, round(avg(y), 6) AS y_mean, round(avg(z), 6) AS z_mean, round(min(x), 6) AS x_min, round(max(x), 6) AS x_max,
+@query(with_(OBSERVED, DLT_SQL, _VOTES) + """SELECT round(count(*) * 0.001, 6) AS volume, round(avg(x), 6) AS x_mean, round(avg(y), 6) AS y_mean, round(avg(z), 6) AS z_mean, round(min(x), 6) AS x_min, round(max(x), 6) AS x_max,
     round(min(y), 6) AS y_min, round(max(y), 6) AS y_max, round(min(z), 6) AS z_min, round(max(z), 6) AS z_max, round(avg(CASE WHEN seen < 3 THEN 1.0 ELSE 0.0 END), 6) AS thin FROM vote WHERE inside >= 3 AND inside >= seen - 1 AND seen > 0""")
 def hull_measures(spark, sf):
-    m = hull.measures(hull.carved(_votes(spark), 3, 1), 0.1)
+    m = hull.measures(hull.carved(_votes(spark, sf), 3, 1), 0.1)
     return m.select(*(r6(c) for c in m.columns))
 
 

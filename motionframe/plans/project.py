@@ -196,7 +196,7 @@ def frame_steps(spark, sf):
 
 
 def _views_sql(shift: float = 0.0) -> str:
-    return f"""(WITH pos AS (SELECT t, camera, ord, rate * t + off + CASE WHEN ord <> 0 THEN {shift} ELSE 0 END AS x FROM camera CROSS JOIN (SELECT unnest(range(0, 200)) AS t)),
+    return f"""(WITH pos AS (SELECT t, camera, ord, rate * t + off + CASE WHEN ord <> 0 THEN {shift} ELSE 0 END AS x FROM camera CROSS JOIN (SELECT unnest(range(0, {FRAMES})) AS t)),
         lo AS (SELECT *, CAST(floor(x) AS BIGINT) AS f0, x - floor(x) < 1e-9 OR x - floor(x) > 1 - 1e-9 AS whole FROM pos),
         need AS (SELECT t, camera, unnest(CASE WHEN whole THEN [f0 + CASE WHEN x - f0 > 0.5 THEN 1 ELSE 0 END] ELSE [f0, f0 + 1] END) AS frame, CASE WHEN whole THEN 1 ELSE 2 END AS k, f0 FROM lo)
         SELECT need.t, need.camera, name, any_value(k) AS k, count(*) AS n, min(frame) AS has, any_value(f0) AS f0 FROM need JOIN (SELECT * FROM cells WHERE NOT hidden) c USING (camera, frame) GROUP BY need.t, need.camera, name)"""
@@ -204,12 +204,12 @@ def _views_sql(shift: float = 0.0) -> str:
 
 @query(with_(CELLS, CAMERA) + f"SELECT t, camera, name, n < k AS half, CASE WHEN n < k THEN has END AS has, CASE WHEN n < k THEN CASE WHEN has = f0 THEN f0 + 1 ELSE f0 END END AS lacks FROM {_views_sql()}")
 def sampled_views(spark, sf):
-    return project.sampled_views(cells(spark, sf), cameras(spark), 0, 199).withColumn("t", F.col("t").cast("long"))
+    return project.sampled_views(cells(spark, sf), cameras(spark), 0, FRAMES - 1).withColumn("t", F.col("t").cast("long"))
 
 
 @query(with_(CELLS, CAMERA) + "SELECT t, camera, name FROM (" + " UNION ALL ".join(f"SELECT t, camera, name FROM {_views_sql(s)} WHERE n = k" for s in (-1.5, 0.0, 1.5)) + ") GROUP BY t, camera, name HAVING count(*) = 3")
 def stable_cells(spark, sf):
-    return project.stable_cells(cells(spark, sf), cameras(spark), 0, 199, 1.5).withColumn("t", F.col("t").cast("long"))
+    return project.stable_cells(cells(spark, sf), cameras(spark), 0, FRAMES - 1, 1.5).withColumn("t", F.col("t").cast("long"))
 
 
 _BOTH = "both_seen AS (SELECT camera, t FROM sampled WHERE name IN ('lm1', 'lm2') GROUP BY camera, t HAVING count(DISTINCT name) = 2)"
@@ -252,13 +252,13 @@ def kinematics(spark, sf):
     return project.kinematics(d, 1).select("camera", "name", "n", F.round("peak_speed", 3).alias("peak_speed"), F.round("median_speed", 3).alias("median_speed"), F.round("peak_acceleration", 2).alias("peak_acceleration"))
 
 
-_ERRORS = "e AS (SELECT frame % 4 AS cam, name, frame, abs(x - 20) AS error FROM cells WHERE camera = 'click')"
+_ERRORS = "e AS (SELECT camera AS cam, name, frame, abs(x - 20) AS error FROM cells)"
 
 
 @query(with_(CELLS, _ERRORS, "hot AS (SELECT * FROM e WHERE error > 30)", _gap_sql("hot", "cam, name", 8)) + """SELECT count(error) AS n_cells, round(median(error), 6) AS median_error, round(max(error), 6) AS max_error, count(*) FILTER (error > 30) AS n_over
     FROM e SEMI JOIN (SELECT DISTINCT cam, name, unnest(range("start", "end" + 1)) AS frame FROM joined) USING (cam, name, frame)""")
 def flagged_cells(spark, sf):
-    e = cells(spark, sf).where("camera = 'click'").select((F.col("frame") % 4).alias("cam"), "name", "frame", F.abs(F.col("x") - 20).alias("error"))
+    e = cells(spark, sf).select(F.col("camera").alias("cam"), "name", "frame", F.abs(F.col("x") - 20).alias("error"))
     hot = runs.runs(e.where("error > 30"), ("cam", "name"), 8)
     return project.flagged_cells(e, hot, 30.0).select("n_cells", r6("median_error"), r6("max_error"), "n_over")
 

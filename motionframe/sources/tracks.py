@@ -65,8 +65,11 @@ def _cell(i: int) -> Column:
     return finite(F.trim(F.get("cells", F.lit(i))))
 
 
-def read_own(spark: SparkSession, path: str) -> DataFrame:
-    """Own long tables: columns by name in any order, unknown ones ignored, missing ones at their defaults."""
+def read_own(spark: SparkSession, path: str, folders: tuple[str, ...] = ()) -> DataFrame:
+    """Own long tables: columns by name in any order, unknown ones ignored, missing ones at their defaults.
+
+    ``folders`` names the keys of a tree of tables, as ``write_own`` lays it out; they come first.
+    """
     d = spark.read.option("header", True).csv(path)
     have = {c.strip().lower(): c for c in d.columns}
     missing = {"frame", "x", "y"} - set(have)
@@ -75,6 +78,8 @@ def read_own(spark: SparkSession, path: str) -> DataFrame:
     flag = lambda c: F.coalesce(F.lower(F.trim(c)).isin("1", "true"), F.lit(False))
     out = []
     for f in T._parse_datatype_string(OWN).fields:
+        if f.name in folders:
+            continue
         c = F.col(f"`{have[f.name]}`") if f.name in have else F.lit(None).cast("string")
         if isinstance(f.dataType, T.BooleanType):
             c = flag(c)
@@ -83,7 +88,7 @@ def read_own(spark: SparkSession, path: str) -> DataFrame:
         else:
             c = finite(c).cast(f.dataType)
         out.append(c.alias(f.name))
-    return d.select(*out)
+    return d.select(*folders, *out)
 
 
 def read_dlc(spark: SparkSession, path: str) -> DataFrame:

@@ -149,6 +149,10 @@ def test_lag_search(spark):
     b = spark.createDataFrame([(i + 7, float(x)) for i, x in enumerate(v)], "frame long, v double")
     r = alignment.lag_verdict(alignment.lag_scores(a, b, 20, 16)).first()
     assert r.lag == 7 and r.verdict == "clear"
+    long = lambda n, k: spark.createDataFrame([(i + k, float(np.sin(i / 9))) for i in range(n)], "frame long, v double")
+    assert alignment.lag_scores(long(300, 0), long(200, 0), 195).agg(F.min("n")).first()[0] == 20  # a tenth of the shorter series
+    shifted = spark.createDataFrame([(i, float(np.sin((i - 0.3) / 4))) for i in range(200)], "frame long, v double")
+    assert alignment.lag_verdict(alignment.lag_scores(spark.createDataFrame([(i, float(np.sin(i / 4))) for i in range(200)], "frame long, v double"), shifted, 8)).first().part == pytest.approx(0.3, abs=0.02)
     half = alignment.resampled(a, F.lit(0.5)).collect()
     assert {x.frame: x.v for x in half}[3] == pytest.approx((v[1] + v[2]) / 2)
 
@@ -325,7 +329,16 @@ def test_sound_delay_equals_plain_blocks(spark):
     rows = [("p", False, i, float(v)) for i, v in enumerate(a)] + [("p", True, i, float(v)) for i, v in enumerate(b)] + [("quiet", o, i, 0.0) for o in (False, True) for i in range(300)]
     d = spark.createDataFrame(rows, "pair string, other boolean, i long, v double")
     curve = sound.correlogram(d, 20, 200)
-    parts = [sound.block_curve(a[s : s + 200], b[s : s + 200], 20, True) for s in range(0, 650 - 200 + 1, 100)]
+
+    def plain(x, y):
+        """One block by the full inverse transform."""
+        w = np.hanning(200)
+        cross = np.fft.fft(x * w, 512) * np.fft.fft(y * w, 512).conj()
+        c = np.fft.ifft(cross / np.abs(cross)).real
+        c = np.concatenate([c[-20:], c[:21]])
+        return min(c.max() / np.median(np.abs(c)), 50), c
+
+    parts = [plain(a[s : s + 200], b[s : s + 200]) for s in range(0, 650 - 200 + 1, 100)]
     want = sum(w * c for w, c in parts) / sum(w for w, _ in parts)
     got = {r.lag: (r.c, r.blocks) for r in curve.collect()}
     assert set(got) == set(range(-20, 21)) and {n for _, n in got.values()} == {len(parts)}
