@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motionframe.functions.scalars import dlt_project
-from motionframe.operators import clock_search, timing
+from motionframe.operators import clock_search, falls, timing
+from motionframe.operators.alignment import sampled
 from motionframe.plans.adapter import DLT, DLT_SQL, read, with_
 from motionframe.plans.motion import _SUMS, query
 
@@ -116,3 +117,30 @@ def timing_rows(spark, sf):
     left, right = (c.select(F.col("camera").alias(x), F.col("ord").alias(f"o{x}")) for x in "ab")
     shifts = left.crossJoin(right).where("oa < ob").select("a", "b", F.explode(F.array(F.lit(-3), F.lit(0), F.lit(3))).alias("shift"))
     return timing.shared_views(moving_tracks(spark, sf), c, ("e1", "e2"), shifts).groupBy("a", "b", "shift").agg(F.count("*").alias("n"))
+
+
+# ---- falls ---------------------------------------------------------------------------------------------------
+
+_FALL_SQL = """late(cam, rate, off) AS (VALUES """ + ", ".join(f"({c}, {r}::DOUBLE, {o}::DOUBLE)" for c, (r, o) in enumerate(TRUE)) + """),
+    at_ AS (SELECT DISTINCT cam, name, unnest(range(CAST(floor((frame - 1 - off) / rate) AS BIGINT), CAST(ceil((frame + 1 - off) / rate) AS BIGINT) + 1)) AS t, rate, off FROM moving JOIN late USING (cam)),
+    want AS (SELECT DISTINCT cam, name, t, rate * t + off AS f FROM at_),
+    smp AS (SELECT w.cam, w.name, t, CASE WHEN whole THEN n.x ELSE l.x * (1 - (f - floor(f))) + h.x * (f - floor(f)) END AS x, CASE WHEN whole THEN n.y ELSE l.y * (1 - (f - floor(f))) + h.y * (f - floor(f)) END AS y
+        FROM (SELECT *, abs(f - floor(f + 0.5)) < 1e-9 AS whole FROM want) w LEFT JOIN moving n ON n.cam = w.cam AND n.name = w.name AND n.frame = floor(f + 0.5) LEFT JOIN moving l ON l.cam = w.cam AND l.name = w.name AND l.frame = floor(f) LEFT JOIN moving h ON h.cam = w.cam AND h.name = w.name AND h.frame = floor(f) + 1),
+    got AS (SELECT * FROM smp WHERE x IS NOT NULL), ok AS (SELECT name, t FROM got GROUP BY name, t HAVING count(*) >= 2),
+    run AS (SELECT name, t, t - row_number() OVER (PARTITION BY name ORDER BY t) AS run FROM ok), own AS (SELECT got.*, run FROM got JOIN run USING (name, t)),
+    vel AS (SELECT a.name, a.run, a.t, a.cam, b.x - a.x AS vx, b.y - a.y AS vy FROM own a JOIN own b ON b.cam = a.cam AND b.name = a.name AND b.run = a.run AND b.t = a.t + 1),
+    spd AS (SELECT name, run, t, median(sqrt(vx*vx + vy*vy) / 1.024) AS s FROM vel GROUP BY ALL),
+    trn AS (SELECT a.name, a.run, a.t, median((a.vx*b.vx + a.vy*b.vy) / nullif(sqrt(a.vx*a.vx + a.vy*a.vy) * sqrt(b.vx*b.vx + b.vy*b.vy), 0)) AS turn FROM vel a JOIN vel b ON b.cam = a.cam AND b.name = a.name AND b.run = a.run AND b.t = a.t + 1 GROUP BY ALL),
+    stp AS (SELECT run.*, s, turn, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY name, run.run) AS n FROM run LEFT JOIN spd USING (name, run, t) LEFT JOIN trn USING (name, run, t) WINDOW w AS (PARTITION BY name, run.run ORDER BY t)),
+    rel AS (SELECT name, run, min(k) AS m FROM (SELECT *, lead(s) OVER w AS s1, lead(s, 2) OVER w AS s2 FROM stp WINDOW w AS (PARTITION BY name, run ORDER BY t)) WHERE s >= 1 AND s1 >= 1 AND s2 >= 1 GROUP BY name, run),
+    ends AS (SELECT p.*, m, lag(s) OVER w AS s0, lag(turn) OVER w AS c0 FROM stp p JOIN rel USING (name, run) WINDOW w AS (PARTITION BY name, run ORDER BY t)),
+    cut AS (SELECT name, run, min(k) AS e FROM ends WHERE k > m AND k < n - 1 AND (s IS NULL OR (s0 >= 2 AND (s < 1 OR s < 0.5 * s0 OR c0 < 0))) GROUP BY name, run),
+    fall AS (SELECT p.*, m >= 4 AS rest, e IS NOT NULL AS cut, CASE WHEN m >= 4 THEN m - 2 ELSE 0 END AS a, coalesce(e, n - 1) AS b FROM ends p LEFT JOIN cut USING (name, run)),
+    sums AS (SELECT name, min(t) AS "first", max(t) AS "last", bool_or(rest) AS rest_left_out, bool_or(cut) AS end_left_out, sum(s) FILTER (k < b) AS travel FROM fall WHERE k BETWEEN a AND b AND b - a + 1 >= 6 GROUP BY name, run HAVING median(s) FILTER (k < b) >= 2)"""
+
+
+@query(with_(MOVING, _FALL_SQL) + 'SELECT name, "first", "last", rest_left_out, end_left_out, round(travel, 6) AS travel FROM sums QUALIFY row_number() OVER (PARTITION BY name ORDER BY travel DESC, "first") = 1')
+def free_falls(spark, sf):
+    """The longest steady flight of each moving point."""
+    cameras = spark.createDataFrame([(f"c{c}", c, off, rate, 1280, 720) for c, (rate, off) in enumerate(TRUE)], "camera string, ord int, offset double, rate double, width int, height int")
+    return falls.falls(sampled(moving_tracks(spark, sf), cameras), cameras).select("name", "first", "last", "rest_left_out", "end_left_out", F.round("travel", 6).alias("travel"))
