@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from motionframe.plans import clocks, formulas, matching, motion, project, series  # noqa: F401  registers its queries
+from motionframe.plans import clocks, formulas, matching, motion, project, rays, series  # noqa: F401  registers its queries
 
 FLAGSHIP = "triangulate"
 QUERIES = motion.QUERIES
