@@ -73,7 +73,9 @@ def windows(cells: DataFrame, r: Rig) -> DataFrame:
     d = d.withColumn("slot", slot).where((F.col("slot") >= 0) & (F.col("slot") < 2 * F.col("reach") + 2))
     points = F.map_from_entries(F.array_distinct(F.collect_list(F.struct((F.col("start") + F.col("slot")).cast("int").alias("k"), F.array("x", "y").alias("p")))))
     flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(start[-1] - 1)), lambda k: F.coalesce(F.try_element_at(F.col("p"), k), F.array(F.lit(None).cast("double"), F.lit(None).cast("double")))))
-    return d.groupBy("name", "t").agg(points.alias("p")).select("name", "t", flat.alias("w"))
+    # A partition for each that the session asks for: the rounds scan this table, and their work is per row, not per byte.
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return d.repartition(parts, "name", "t").groupBy("name", "t").agg(points.alias("p")).select("name", "t", flat.alias("w"))
 
 
 class _Batch:
@@ -131,7 +133,7 @@ class _Batch:
 def _batches(frames: Iterator[pd.DataFrame], r: Rig) -> Iterator[tuple[pd.DataFrame, _Batch]]:
     for f in frames:
         if len(f):
-            yield f, _Batch(f["t"].to_numpy(), np.array(f["w"].tolist(), float), r)
+            yield f, _Batch(f["t"].to_numpy(), np.stack(f["w"].to_numpy()).astype(float), r)
 
 
 def costs(table: DataFrame, r: Rig, candidates: Sequence[Sequence[float]], own: int | None = None, cap: float = math.inf) -> list[float]:
@@ -226,17 +228,15 @@ def search(table: DataFrame, r: Rig, step: float = 0.05, refine: float = 0.005,
                 if found[k] < cost - LEAST_GAIN:  # a flat cost moves nothing
                     best, cost = tried[k], found[k]
     free = len(best) - 1
-    spacing, centre = refine, np.array(best)
+    spacing, centre, proposed = refine, np.array(best), []
     while free and math.isfinite(cost) and spacing >= finest:
         moves = np.vstack([s * np.eye(free)[i] for i in range(free) for s in (-1, 1)] + [si * np.eye(free)[i] + sj * np.eye(free)[j] for i in range(free) for j in range(i) for si in (-1, 1) for sj in (-1, 1)])
         far = 4 * spacing * np.array([s * np.eye(free)[i] for i in range(free) for s in (-1, 1)])
-        tried = [[best[0], *(np.array(best[1:]) + m)] for m in (*spacing * moves, *far)]
-        # The quadratic through the neighbours proposes one more candidate in the next round.
+        tried = [[best[0], *(np.array(best[1:]) + m)] for m in (*spacing * moves, *far)] + proposed
         found = costs(table, r, tried, cap=cap)
+        # The quadratic through the neighbours proposes one more candidate for the next round.
         newton = _newton(np.array(found), cost, moves, free, spacing)
-        if newton is not None:
-            tried.append([best[0], *(np.array(best[1:]) + newton)])
-            found.append(costs(table, r, tried[-1:], cap=cap)[0])
+        proposed = [] if newton is None else [[best[0], *(np.array(best[1:]) + newton)]]
         k = int(np.argmin(found))
         inside = np.abs(np.array(tried[k]) - centre) <= step + np.array(r.widths)
         if found[k] < cost and inside.all():
