@@ -108,3 +108,37 @@ def test_project_folder(spark, tmp_path):
     assert project_folder.damaged(spark, path).count() == 0
     spark.createDataFrame([(9, 9.0, "")], "frame long, v double, note string").write.mode("append").parquet(f"{path}/data/version=1/camera=b/name=x")
     assert [tuple(r) for r in project_folder.damaged(spark, path).collect()] == [("b", "x")]
+
+
+# ---- surfaces ----------------------------------------------------------------------------------------------
+
+
+def test_distance_field_and_surface(spark):
+    from motionframe.operators import surface
+
+    n = (7, 6, 5)
+    solid = [(x, y, z) for x in range(7) for y in range(6) for z in range(5) if (x - 3) ** 2 / 9 + (y - 2.5) ** 2 / 6 + (z - 2) ** 2 / 4 <= 1]
+    d = spark.createDataFrame(solid + solid[:2], "ix long, iy long, iz long")
+    box = [(x, y, z) for x in range(-1, 8) for y in range(-1, 7) for z in range(-1, 6)]
+    got = {(r.ix, r.iy, r.iz): r.value for r in surface.signed_distance(d, n).collect()}
+    inside = set(solid)
+    near = lambda p, others: min(math.dist(p, q) for q in others)
+    assert set(got) == set(box)
+    for p in box:
+        want = near(p, [q for q in box if q not in inside]) if p in inside else -near(p, inside)
+        assert got[p] == pytest.approx(want), p
+    field = surface.signed_distance(d, n)
+    soup = surface.surface(field)
+    rows = [np.array([r.a, r.b, r.c]) for r in soup.collect()]
+    # Closed and outward: directed areas cancel, and the volume is between the voxels eroded and dilated by half.
+    assert np.allclose(sum(np.cross(t[1] - t[0], t[2] - t[0]) for t in rows), 0, atol=1e-9)
+    volume = sum(np.dot(t[0], np.cross(t[1], t[2])) for t in rows) / 6
+    assert 0.5 * len(solid) < volume < 1.3 * len(solid) and surface.enclosed(soup, 2.0).first().volume == pytest.approx(8 * volume)
+    vertices, faces = surface.welded(soup, (0.0, 0.0, 0.0), 1.0)
+    edges = faces.select(F.explode(F.array(*(F.array(a, b) for a, b in ("ab", "bc", "ca")))).alias("e")).select(F.array_sort("e").alias("e"), (F.get("e", F.lit(0)) < F.get("e", F.lit(1))).alias("up"))
+    odd = edges.groupBy("e").agg(F.count_if("up").alias("u"), F.count("*").alias("n")).where("u * 2 <> n")
+    assert odd.count() == 0 and vertices.count() - edges.select("e").distinct().count() + faces.count() == 2  # one closed surface without holes
+    assert {r.value for r in surface.signed_distance(d.where("false"), (2, 2, 2)).collect()} == {-1.0}
+    assert surface.surface(surface.signed_distance(d.where("false"), (2, 2, 2))).count() == 0
+    flat = surface.blurred(field.withColumn("value", F.lit(2.5)), 1.0).agg(F.min("value"), F.max("value")).first()
+    assert flat[0] == pytest.approx(2.5) and flat[1] == pytest.approx(2.5)
