@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from motionframe.operators import epipolar
-from motionframe.plans.adapter import DLT, DLT_SQL, OBSERVED, calibration, observations, with_
+from motionframe.operators import epipolar, lenses
+from motionframe.plans.adapter import DLT, DLT_SQL, OBSERVED, calibration, observations, read, with_
 from motionframe.plans.motion import query
 
 _CENTRES = [np.linalg.solve([[*k[0:3]], [*k[4:7]], [*k[8:11]]], [-k[3], -k[7], -1.0]) for k in DLT]
@@ -43,3 +43,37 @@ def ray_targets(spark, sf):
     """Where the rays of the other cameras put each observed landmark, also in cameras that don't see it."""
     d = epipolar.ray_targets(observations(spark, sf), _cameras(spark))
     return d.select("name", "frame", "cam", "mode", "lines", *(F.round(c, 3).alias(c) for c in ("x", "y", "outside")))
+
+
+# ---- lenses and constellations -----------------------------------------------------------------------------------
+
+_CONTROL = """ctl AS (SELECT label AS lens, vec_id, 2000 * e[1] AS x, 2000 * e[2] AS y, 1000 * e[3] AS qx, 1000 * e[4] AS qy FROM (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+    gap AS (SELECT a.lens, a.vec_id, a.x, a.y, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY a.lens, a.vec_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS k FROM ctl a JOIN ctl b ON a.lens = b.lens),
+    reach AS (SELECT lens, x, y, d FROM gap WHERE k = 12)"""
+
+
+@query("WITH " + _CONTROL + """ SELECT lens, vec_id, round(CASE WHEN hit THEN qx * 0.9 + 3e-5 * qx * qy + 10 END, 3) AS x, round(CASE WHEN hit THEN qy * 1.1 - 2e-5 * qx * qx END, 3) AS y
+    FROM (SELECT q.*, EXISTS (SELECT 1 FROM reach r WHERE r.lens = q.lens AND sqrt(pow(q.qx - r.x, 2) + pow(q.qy - r.y, 2)) < r.d) AS hit FROM ctl q)""")
+def lens_maps(spark, sf):
+    """Pixels through lenses whose control points follow a quadratic, which local quadratics then give back wherever one reaches."""
+    at = lambda i, k: k * F.get("embedding", F.lit(i)).cast("double")
+    e = read(spark, sf, "embeddings").select(F.col("label").alias("lens"), "vec_id", at(0, 2000).alias("x"), at(1, 2000).alias("y"), at(2, 1000).alias("qx"), at(3, 1000).alias("qy"))
+    x, y = F.col("x"), F.col("y")
+    points = e.select("lens", "x", "y", (x * 0.9 + 3e-5 * x * y + 10).alias("to_x"), (y * 1.1 - 2e-5 * x * x).alias("to_y"))
+    got = lenses.mapped(e.select("lens", "vec_id", F.col("qx").alias("x"), F.col("qy").alias("y")), lenses.fitted(points), ("vec_id",))
+    return got.select("lens", "vec_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+_MEMBERS = """mem AS (SELECT vec_id, m, 40 * e[1 + 2*m] AS sx, 40 * e[2 + 2*m] AS sy, e[40] AS turn, 1 + e[41] AS scale FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), (SELECT unnest(range(0, 12)) AS m))"""
+
+
+@query("WITH " + _MEMBERS + " SELECT vec_id, round(320 + 5 * scale * cos(turn), 3) AS x, round(240 + 5 * scale * sin(turn), 3) AS y, true AS visible, round(9 / 12.0 * 0.8, 6) AS confidence FROM mem WHERE m = 0")
+def constellation_centres(spark, sf):
+    """Groups of twelve members that turn, grow and move; three of each follow something else. The oracle is the motion they were made with."""
+    e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("m"))
+    at = lambda i: F.get("e", i)
+    sx, sy, turn, scale = 40 * at(2 * F.col("m")), 40 * at(2 * F.col("m") + 1), at(F.lit(39)), 1 + at(F.lit(40))
+    off = F.when(F.col("m") % 4 == 3, 60.0 + 20 * F.col("m")).otherwise(0.0)
+    x, y = 320 + scale * (F.cos(turn) * sx - F.sin(turn) * sy) + off, 240 + scale * (F.sin(turn) * sx + F.cos(turn) * sy) - off / 2
+    d = e.select("vec_id", sx.alias("seed_x"), sy.alias("seed_y"), F.lit(5.0).alias("centre_x"), F.lit(0.0).alias("centre_y"), F.lit(10.0).alias("radius"), x.alias("x"), y.alias("y"), F.lit(0.8).alias("confidence"), F.lit(True).alias("visible"))
+    return lenses.group_centres(d, ("vec_id",), 640.0, 480.0).select("vec_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "visible", F.round("confidence", 6).alias("confidence"))

@@ -142,3 +142,67 @@ def test_distance_field_and_surface(spark):
     assert surface.surface(surface.signed_distance(d.where("false"), (2, 2, 2))).count() == 0
     flat = surface.blurred(field.withColumn("value", F.lit(2.5)), 1.0).agg(F.min("value"), F.max("value")).first()
     assert flat[0] == pytest.approx(2.5) and flat[1] == pytest.approx(2.5)
+
+
+# ---- lenses and constellations -----------------------------------------------------------------------------
+
+
+def test_lens_maps_equal_plain_weights(spark):
+    from motionframe.operators import lenses
+
+    g = np.random.default_rng(6)
+    src = np.array([(x + g.normal(), y + g.normal()) for x in range(0, 200, 20) for y in range(0, 140, 20)])
+    dst = np.column_stack([src[:, 0] * 1.02 + 4 * np.sin(src[:, 1] / 40), src[:, 1] + 3 * np.cos(src[:, 0] / 30)])
+    points = [("l", *map(float, p), *map(float, q)) for p, q in zip(src, dst)] + [("few", float(i), 0.0, 1.0, 1.0) for i in range(5)]
+    pixels = [(i, "l", float(x), float(y)) for i, (x, y) in enumerate(g.uniform(-40, 240, size=(60, 2)))] + [(90, "few", 1.0, 0.0), (91, "none", 1.0, 0.0), (92, "l", None, 1.0)]
+    d = spark.createDataFrame(pixels, "i int, lens string, x double, y double")
+    fits = lenses.fitted(spark.createDataFrame(points, "lens string, x double, y double, to_x double, to_y double"))
+    got = {r.i: (r.x, r.y) for r in lenses.mapped(d, fits, ("i",)).collect()}
+    terms = lambda p: np.array([1, p[0], p[1], p[0] * p[1], p[0] ** 2, p[1] ** 2])
+    own = []
+    for p in src:
+        near = np.argsort(np.linalg.norm(src - p, axis=1))[:12]
+        own.append((np.linalg.norm(src[near] - p, axis=1).max(), np.linalg.lstsq(np.array([terms(q) for q in src[near]]), dst[near], rcond=None)[0]))
+    some = 0
+    for i, lens, *p in pixels[:60]:
+        w = [1 - 3 * r**2 + 2 * r**3 if (r := math.dist(p, s) / reach) < 1 else 0 for s, (reach, _) in zip(src, own)]
+        if sum(w):
+            want = sum(k * (terms(p) @ c) for k, (_, c) in zip(w, own)) / sum(w)
+            assert got[i] == pytest.approx(tuple(want), abs=1e-6)
+            some += 1
+        else:
+            assert got[i] == (None, None)
+    assert 20 < some < 60 and got[90] == got[91] == got[92] == (None, None) and len(got) == 63
+
+
+def test_constellations(spark):
+    from motionframe.operators import lenses
+
+    g = np.random.default_rng(7)
+    seed = g.uniform(-30, 30, size=(10, 2))
+    turned = seed @ np.array([[0, 1.5], [-1.5, 0]]) + [100, 80]
+    rows = []
+
+    def add(frame, now, radius=20.0, conf=0.9, visible=True):
+        rows.extend((frame, *map(float, s), 1.0, 2.0, radius, *map(float, n), conf, visible) for s, n in zip(seed, now))
+
+    add(0, turned)
+    swapped = turned.copy()
+    swapped[:4] = turned[3::-1]
+    add(1, swapped)
+    add(2, seed * 5 + 300)  # too large a scale: the median displacement
+    add(3, seed + [7, -3] + 40, radius=5.0)  # too small a group
+    add(4, seed - 1000)  # nobody on the picture
+    half = turned.copy()
+    half[5:] = -900
+    add(5, half, visible=False)
+    d = spark.createDataFrame(rows, "frame long, seed_x double, seed_y double, centre_x double, centre_y double, radius double, x double, y double, confidence double, visible boolean").repartition(3)
+    got = {r.frame: r for r in lenses.group_centres(d, ("frame",), 640.0, 480.0).collect()}
+    true = np.array([1.0, 2.0]) @ np.array([[0, 1.5], [-1.5, 0]]) + [100, 80]
+    assert (got[0].x, got[0].y) == pytest.approx(tuple(true)) and got[0].confidence == pytest.approx(0.9) and got[0].visible
+    assert (got[1].x, got[1].y) == pytest.approx(tuple(true), abs=1.5) and got[1].confidence < 0.9
+    move = np.median(seed * 4 + 300, axis=0)
+    assert (got[2].x, got[2].y) == pytest.approx((1 + move[0], 2 + move[1])) and got[2].confidence == pytest.approx(0.54)
+    assert (got[3].x, got[3].y) == pytest.approx((48, 39)) and got[3].confidence == pytest.approx(0.54)
+    assert got[4].x is None and got[4].confidence == 0 and not got[4].visible
+    assert (got[5].x, got[5].y) == pytest.approx(tuple(true)) and got[5].confidence == pytest.approx(0.45) and not got[5].visible
