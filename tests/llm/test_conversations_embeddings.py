@@ -256,3 +256,66 @@ def test_prefix_trie(spark, convs, monkeypatch):
     lone = next(c for c in range(1, 1000) if c % 5 and crc(str(c)) % 9 > 1)
     one = spark.createDataFrame([(lone, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     assert [tuple(r) for r in prefix_trie.trie(one).collect()] == brute_trie([(lone, 0, "user", "x")])
+
+
+# ---- models against plain versions -------------------------------------------------------------------------
+
+
+def test_compiled_trees_equal_the_fitted_model(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    from motionframe.llm import url_filter
+
+    kept, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df: kept.append((fit(self, df), df)) or kept[0][0])
+    r = random.Random(3)
+    rows = []
+    for k in range(400):
+        bad = k % 3 == 0
+        host = "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) + ("-win-" + str(r.randint(100, 9999)) if bad else "") + r.choice([".com", ".org", ".net"])
+        rows.append((f"https://{host}/{'/'.join('x' * r.randint(1, 9) for _ in range(r.randint(0, 4)))}?{'&'.join(f'a{i}=1' for i in range(r.randint(0, 5)))}", bad != (r.random() < 0.2)))
+    model = url_filter.fit(spark.createDataFrame(rows, "url string, blocked boolean"))
+    fitted, frame = kept[0]
+    assert len(model.trees) == len(fitted.trees) > 1
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    both = fitted.transform(frame).select(vector_to_array("probability")[1].alias("p"), model.chance({c: F.col(c) for c in (*url_filter.LEXICAL, "suffix_rate")}).alias("q")).collect()
+    assert len(both) == len({u for u, _ in rows}) and max(abs(b.p - b.q) for b in both) < 1e-12 and len({round(b.q, 9) for b in both}) > 5
+
+
+def test_quality_scores_by_plain_loops(spark):
+    """Features by regular expressions, weights that no step can improve, scores by the formula."""
+    from motionframe.llm import quality_classifier as qc
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(1, 8)))
+    texts = [" ".join(word() for _ in range(r.randint(3, 80))) + ("!!! $$ 99 | |\n" + "x x x x y " * 4 if k % 2 else ".\n" + word()) for k in range(80)] + ["", "   ", "Été ÀB"]
+
+    def measured(t):
+        raw = t.encode()
+        words, n = raw.split(), max(len(raw.split()), 1)
+        count = lambda p: len(re.findall(p, raw)) / n
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        fours = {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+        return [
+            np.log1p(len(words)) / 8, min(max(len(raw), 1) / n / 10, 3), min(count(rb"[#*$%&<>@^~=+_{}\[\]\\]"), 3), min(count(rb"\|"), 1), min(count(rb"!"), 2), min(count(rb"[A-Z]") / 2, 3), min(count(rb"[0-9]"), 2), min(count(rb"[.,;:?'\"()-]"), 2),
+            sum(a == b for a, b in zip(words, words[1:])) / n, len(set(words)) / n, (len(fours) + 1) / max(len(words) - 2, 1), len(set(lines)) / max(len(lines), 1), min(len(zlib.compress(raw, 1)) / max(len(raw), 1), 1.5), float(len(words) < 20),
+        ]
+
+    x = np.array([measured(t) for t in texts])
+    assert np.allclose(x, [qc.features(t) for t in texts])
+    good = np.arange(len(texts)) % 2 == 0
+    m = qc.fit_pairs(x, good, pairs=10**6)
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-6), -8, 8)
+    g = np.random.default_rng(5)
+    n = min(10**6, int(good.sum() * (~good).sum()))
+    d = z[g.choice(np.flatnonzero(good), n)] - z[g.choice(np.flatnonzero(~good), n)]
+    loss = lambda w: np.logaddexp(0, -d @ w).mean() + 5e-4 * w @ w
+    w = np.array(m.weights)
+    assert all(loss(w) <= loss(w + s * e) + 1e-12 for e in np.eye(len(w)) for s in (-1e-3, 1e-3))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.s for r in df.select("i", qc.score(df.text, m).alias("s")).collect()}
+    cut = np.quantile(z @ w, (~good).sum() / len(good), method="midpoint")
+    want = 1 / (1 + np.exp(-(z @ w - cut + np.log(0.3 / 0.7))))
+    assert np.allclose([got[i] for i in range(len(texts))], want)
