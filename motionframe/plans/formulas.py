@@ -302,7 +302,7 @@ def points3d_round_trip(spark, sf):
 def offsets_round_trip(spark, sf):
     s = read(spark, sf, "supplier")
     path, first = folder(spark, "files"), s.agg(F.min("s_suppkey")).first()[0]
-    s.select(F.col("s_suppkey").alias("camera"), F.concat(F.lit("s"), "s_suppkey").alias("name"), F.col("s_acctbal").alias("offset"), (1 + F.col("s_nationkey") / 10.0).alias("rate")).write.option("header", True).csv(path)
+    tracks.write_offsets(s.select(F.concat(F.lit("s"), "s_suppkey").alias("camera"), F.col("s_suppkey").alias("ord"), F.col("s_acctbal").alias("offset"), (1 + F.col("s_nationkey") / 10.0).alias("rate")), path)
     return tracks.read_offsets(spark, path, f"s{first}").select("camera", r6("offset"), r6("rate"))
 
 
@@ -312,3 +312,43 @@ def dlt_round_trip(spark, sf):
     s = read(spark, sf, "supplier").select("s_suppkey", F.posexplode(F.array(*(F.lit(v) * F.col("s_acctbal") for v in DLT[0]))).alias("i", "v"))
     lines = s.groupBy("i").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "v"))), lambda x: x["v"].cast("string")), ",").alias("value")).orderBy("i").select("value")
     return tracks.read_dlt_csv(spark, _text_file(lines, spark)).select(F.col("cam").cast("int").alias("cam"), F.posexplode("coefs").alias("i", "v"))
+
+
+# ---- several animals, events ---------------------------------------------------------------------------------------
+
+
+def _animals(spark, sf):
+    """Landmarks of even number are parts of two animals, the others stand alone."""
+    i = F.substring("name", 3, 1).cast("int")
+    return cells(spark, sf).select("camera", F.when(i < 4, "a").when(i < 6, "b").alias("animal"), F.when(i < 6, F.concat(F.lit("p"), i % 4)).otherwise(F.col("name")).alias("name"), "frame", "x", "y", "confidence", "hidden")
+
+
+_ANIMAL_SQL = "a AS (SELECT camera, CASE WHEN i < 4 THEN 'a' WHEN i < 6 THEN 'b' END AS animal, CASE WHEN i < 6 THEN 'p' || (i % 4) ELSE name END AS name, frame, x, y, confidence FROM (SELECT *, CAST(substr(name, 3, 1) AS INT) AS i FROM cells WHERE NOT hidden))"
+
+
+@query(with_(CELLS, _ANIMAL_SQL) + "SELECT * FROM a")
+def dlc_multi_round_trip(spark, sf):
+    c = _animals(spark, sf).persist()
+    one = lambda camera: tracks.read_dlc_multi(spark, _text_file(tracks.dlc_multi_lines(c.where(F.col("camera") == camera), ["a", "b"], [f"p{k}" for k in range(4)], ["lm6", "lm7"]), spark))
+    return _each_camera(one)
+
+
+@query(with_(CELLS, _ANIMAL_SQL) + "SELECT camera, coalesce(animal, 'scene') AS track, frame AS frame_idx, round(avg(confidence), 4) AS score, " + ", ".join(f"round(max(x) FILTER (name = '{n}'), 3) AS {n}_x, round(max(y) FILTER (name = '{n}'), 3) AS {n}_y, round(max(confidence) FILTER (name = '{n}'), 4) AS {n}_score" for n in ("p0", "p3", "lm6")) + " FROM a WHERE name IN ('p0', 'p3', 'lm6') GROUP BY ALL")
+def sleap_export(spark, sf):
+    """Instances of each camera as they are exported, numbers parsed again."""
+    c = _animals(spark, sf).persist()
+    nodes = ["p0", "p3", "lm6"]
+    number = lambda col, name: F.col(f"`{col}`").cast("double").alias(name)
+    wide = _each_camera(lambda camera: tracks.sleap_table(c.where(F.col("camera") == camera), nodes))
+    return wide.select("camera", "track", "frame_idx", number("instance.score", "score"), *(number(f"{n}.{v}", f"{n}_{v}") for n in nodes for v in ("x", "y", "score")))
+
+
+@query("""SELECT p_name || ', "' || p_brand || '"' AS name, CAST(p_size AS BIGINT) AS "start", CAST(p_size + 5 AS BIGINT) AS "end", CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type || chr(10) || 'second line' END AS note, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand END AS author FROM part
+    UNION ALL SELECT 'note', CAST(s_suppkey AS BIGINT), CAST(s_suppkey AS BIGINT), s_name, '' FROM supplier""")
+def events_round_trip(spark, sf):
+    p, path = read(spark, sf, "part"), folder(spark, "files")
+    text = F.when(F.col("p_partkey") % 3 != 0, F.concat("p_type", F.lit("\nsecond line")))
+    events = p.select(F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("name"), F.col("p_size").cast("long").alias("start"), (F.col("p_size") + 5).cast("long").alias("end"), text.alias("note"), F.when(F.col("p_partkey") % 2 != 0, F.col("p_brand")).alias("author"))
+    notes = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("frame"), F.col("s_name").alias("text"), F.lit(None).cast("string").alias("author"))
+    tracks.write_events(events, notes, path)
+    return tracks.read_events(spark, path)

@@ -199,3 +199,67 @@ def points3d_table(points: DataFrame, names: list[str]) -> DataFrame:
     """frame, then X, Y and Z for each landmark."""
     d = points.select("frame", "name", *(F.col(c).alias(c.upper()) for c in "xyz"))
     return wide(d, names, ("X", "Y", "Z"), ("frame",)).orderBy("frame")
+
+
+# ---- several animals, events, clocks ---------------------------------------------------------------------------------
+
+#: The individual that holds the points of no animal.
+SINGLE = "single"
+
+
+def dlc_multi_lines(cells: DataFrame, animals: list[str], parts: list[str], singles: list[str], scorer: str = "motionframe") -> DataFrame:
+    """The four header rows (scorer, individuals, bodyparts, coords) and a row a frame of one camera's cells (animal, name, frame, x, y, confidence, hidden).
+
+    Every animal has a column triple for each part that animals share, points of no animal stand under
+    ``single``; a missing cell is blank with likelihood 0.
+    """
+    columns = [(a, p) for a in animals for p in parts] + [(None, n) for n in singles]
+    clean = lambda s: s.replace(",", "_").replace("\t", "_").replace("\n", " ")
+    owner = [clean(a) if a is not None else SINGLE for a, _ in columns]
+    heads = ["scorer" + f",{scorer}" * (3 * len(columns)), "individuals" + "".join(f",{o}" * 3 for o in owner), "bodyparts" + "".join(f",{clean(p)}" * 3 for _, p in columns), "coords" + ",x,y,likelihood" * len(columns)]
+    at = lambda a, p: (F.col("name") == p) & F.col("animal").eqNullSafe(F.lit(a))
+    cell = [F.max(F.when(at(a, p), F.col(v))).alias(f"c{i}_{v}") for i, (a, p) in enumerate(columns) for v in ("x", "y", "confidence")]
+    wide_rows = cells.where(~F.col("hidden")).groupBy("frame").agg(*cell)
+    values = [F.coalesce(F.col(f"c{i}_{v}").cast("string"), F.lit("0.0" if v == "confidence" else "")) for i in range(len(columns)) for v in ("x", "y", "confidence")]
+    head = cells.sparkSession.createDataFrame([(i - 4, h) for i, h in enumerate(heads)], "ord long, value string")
+    return head.union(wide_rows.select(F.col("frame").alias("ord"), F.concat_ws(",", F.col("frame").cast("string"), *values))).orderBy("ord").select("value")
+
+
+def read_dlc_multi(spark: SparkSession, path: str) -> DataFrame:
+    """(animal, name, frame, x, y, confidence) of the layout with individuals; ``animal`` is NULL for single points."""
+    _, owners, parts, coords = header(spark, path, 4)
+    at = {(o, p, c): i for i, (o, p, c) in enumerate(zip(owners, parts, coords, strict=True)) if i}
+    pairs = list(dict.fromkeys(k[:2] for k in at))
+    chance = lambda o, p: F.least(F.greatest(F.coalesce(_cell(at[o, p, "likelihood"]), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    point = lambda o, p: F.struct(F.lit(None if o == SINGLE else o).cast("string").alias("animal"), F.lit(p).alias("name"), _cell(at[o, p, "x"]).alias("x"), _cell(at[o, p, "y"]).alias("y"), chance(o, p).alias("confidence"))
+    d = _numbered(spark, path, 4).where(F.size("cells") > 1).select(_cell(0).cast("long").alias("frame"), F.inline(F.array(*(point(o, p) for o, p in pairs))))
+    return d.where("x is not null and y is not null").select("animal", "name", "frame", "x", "y", "confidence")
+
+
+def sleap_table(cells: DataFrame, nodes: list[str], scene: str = "scene") -> DataFrame:
+    """track, frame_idx, instance.score, then x, y and score of each node: one row for each animal and frame with a cell, the points of no animal as a track of their own."""
+    fixed = lambda c, n: F.format_number(c, n)
+    plain = lambda c, n: F.replace(fixed(c, n), F.lit(","), F.lit(""))
+    node = lambda n, v: F.max(F.when(F.col("name") == n, F.col(v)))
+    cols = [plain(node(n, v), 4 if v == "confidence" else 3).alias(f"{n}.{'score' if v == 'confidence' else v}") for n in nodes for v in ("x", "y", "confidence")]
+    d = cells.where(~F.col("hidden") & F.col("name").isin(nodes)).withColumn("track", F.coalesce("animal", F.lit(scene)))
+    return d.groupBy("track", F.col("frame").alias("frame_idx")).agg(plain(F.avg("confidence"), 4).alias("instance.score"), *cols)
+
+
+def write_events(events: DataFrame, notes: DataFrame, path: str) -> None:
+    """CSV of events (name, start, end, note, author), then of notes (frame, text, author) as events of one frame; commas, quotes and line breaks survive."""
+    rows = events.select("name", F.col("start").alias("start_frame"), F.col("end").alias("end_frame"), "note", "author")
+    rows = rows.unionByName(notes.select(F.lit("note").alias("name"), F.col("frame").alias("start_frame"), F.col("frame").alias("end_frame"), F.col("text").alias("note"), "author"))
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """(name, start, end, note, author) of an events CSV; a note or author that isn't there is empty."""
+    d = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return d.select(text("name"), finite(F.col("start_frame")).cast("long").alias("start"), finite(F.col("end_frame")).cast("long").alias("end"), text("note"), text("author"))
+
+
+def write_offsets(cameras: DataFrame, path: str) -> None:
+    """CSV of clocks (camera, ord, offset, rate): the camera's number from 1, its name, offset and rate."""
+    cameras.select((F.col("ord") + 1).alias("camera"), F.col("camera").alias("name"), "offset", "rate").write.option("header", True).csv(path)
