@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionframe.functions import scalars as S
 from motionframe.operators.quantiles import medians
+from motionframe.sources.scratch import written
 
 SEEN = 0.15
 
@@ -74,28 +75,48 @@ def lateral_axis() -> list[Column]:
 
 
 def joint_angles(wide: DataFrame, angles: list[Angle], person: tuple[str, ...] = ("person",)) -> DataFrame:
-    """Adds a column for each angle, in degrees, NULL where a joint is missing."""
+    """Adds a column for each angle, in degrees, NULL where a joint is missing.
+
+    The trunk leans against its usual direction: the medians of a person's unit vectors, component by component.
+    """
     axis = lateral_axis()
-    out: dict[str, Column] = {}
-    for a in angles:
-        p = [_point(x) for x in a.points]
-        if a.kind == "joint":
-            raw = S.interior_angle(*p)
-        elif a.kind == "sagittal":
-            raw = S.signed_angle(S.minus(p[0], p[1]), S.minus(p[2], p[1]), axis)
-        elif a.kind == "segments":
-            raw = S.signed_angle(S.minus(p[1], p[0]), S.minus(p[3], p[2]), axis)
-        elif a.kind == "lean":
-            trunk = S.minus(p[1], p[0])
-            unit = [F.try_divide(c, S.norm(trunk)) for c in trunk]
-            usual = [F.median(c).over(Window.partitionBy(*person)) for c in unit]
-            raw = S.signed_angle(usual, trunk, axis)
-        else:
-            middle = lambda x, y: [(i + j) / 2 for i, j in zip(x, y, strict=True)]
-            raw = S.twist(S.minus(p[1], p[0]), S.minus(p[3], p[2]), S.minus(middle(p[0], p[1]), middle(p[2], p[3])))
-        value = a.scale * raw + a.offset
-        out[a.name] = value if a.kind == "joint" else S.fold(value, *a.window)
-    return wide.withColumns(out)
+    columns = wide.columns
+    wide = written(wide, "poses")
+    for lean in [a for a in angles if a.kind == "lean"][:1]:
+        low, high = (_point(x) for x in lean.points)
+        trunk = S.minus(high, low)
+        units = wide.select(*person, *(F.try_divide(c, S.norm(trunk)).alias(f"__{k}") for k, c in zip("xyz", trunk, strict=True)))
+        for k in "xyz":
+            usual = medians(units, F.col(f"__{k}"), person, f"__usual_{k}").select(*(F.col(q).alias(f"__p{i}") for i, q in enumerate(person)), f"__usual_{k}")
+            wide = wide.join(usual, [F.col(q).eqNullSafe(F.col(f"__p{i}")) for i, q in enumerate(person)], "left").drop(*(f"__p{i}" for i in range(len(person))))
+
+    def into(window: tuple[float, float]):
+        return lambda v: S.fold(v, *window)
+
+    def measured(axis: list[Column]) -> dict[str, Column]:
+        out: dict[str, Column] = {}
+        for a in angles:
+            p = [_point(x) for x in a.points]
+            if a.kind == "joint":
+                raw = S.interior_angle(*p)
+            elif a.kind == "sagittal":
+                raw = S.signed_angle(S.minus(p[0], p[1]), S.minus(p[2], p[1]), axis)
+            elif a.kind == "segments":
+                raw = S.signed_angle(S.minus(p[1], p[0]), S.minus(p[3], p[2]), axis)
+            elif a.kind == "lean":
+                raw = S.signed_angle([F.col(f"__usual_{c}") for c in "xyz"], S.minus(p[1], p[0]), axis)
+            else:
+                middle = lambda x, y: [(i + j) / 2 for i, j in zip(x, y, strict=True)]
+                raw = S.twist(S.minus(p[1], p[0]), S.minus(p[3], p[2]), S.minus(middle(p[0], p[1]), middle(p[2], p[3])))
+            value = a.scale * raw + a.offset
+            out[a.name] = value if a.kind == "joint" else S.let(value, into(a.window))
+        return out
+
+    # The axis is bound once, for most angles use it.
+    bound = F.struct(*(c.alias(k) for k, c in zip("xyz", axis, strict=True)))
+    all_of_them = S.let(bound, lambda a: F.struct(*(v.alias(n) for n, v in measured([a[k] for k in "xyz"]).items())))
+    d = wide.withColumn("__angles", all_of_them)
+    return d.select(*columns, *(F.col("__angles")[a.name].alias(a.name) for a in angles))
 
 
 def long_angles(wide: DataFrame, angles: list[Angle], keys: tuple[str, ...] = ("person", "frame")) -> DataFrame:
@@ -110,3 +131,21 @@ def range_of_motion(angles: DataFrame, keys: tuple[str, ...] = ("person",)) -> D
     middle = medians(angles, F.col("degrees"), by)
     same = [ends[k].eqNullSafe(middle[k]) for k in by]
     return ends.join(middle, same, "left").select(*(ends[k] for k in by), "lo", "hi", "span", "median")
+
+
+#: Shares of frames with a person from which a report is good or ok, and the score under which a person is doubtful.
+GOOD_COVER, OK_COVER, DOUBTFUL = 0.9, 0.5, 0.6
+
+
+def angle_report(angles: DataFrame, scores: DataFrame, frames: int, keys: tuple[str, ...] = ("person",)) -> DataFrame:
+    """(keys, posed, score, doubtful, cover, verdict, angle, lo, hi, span, median): a row for each person and angle that has values.
+
+    ``angles`` is long (keys, frame, angle, degrees), ``scores`` has the mean detector score and the number of
+    posed frames of each person. The verdict is of all: on how many of ``frames`` anybody was found.
+    """
+    angles = written(angles.where("degrees is not null"), "angles")
+    found = angles.agg(F.count_distinct("frame")).scalar()
+    cover = found / F.lit(float(frames)) if frames else F.lit(0.0)
+    verdict = F.when(cover >= GOOD_COVER, "good").when(cover >= OK_COVER, "ok").when(found > 0, "poor").otherwise("nothing found")
+    d = range_of_motion(angles, keys).where("span is not null").join(scores, list(keys), "left")
+    return d.select(*keys, "posed", "score", (F.col("score") < DOUBTFUL).alias("doubtful"), cover.alias("cover"), verdict.alias("verdict"), "angle", "lo", "hi", "span", "median")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from motionframe.plans import clocks, folders, formulas, matching, motion, project, rays, series, surfaces  # noqa: F401  registers its queries
+from motionframe.plans import bodies, clocks, folders, formulas, matching, motion, project, rays, series, surfaces  # noqa: F401  registers its queries
 
 FLAGSHIP = "triangulate"
 QUERIES = motion.QUERIES
