@@ -1,9 +1,10 @@
 """Lenses given by matched control points: locally weighted quadratic maps.
 
 Around each control point a quadratic is fitted to its nearest ones, and has a say as far as the farthest of
-them. A pixel's value is the weighted mean of the quadratics that reach it. Pixels meet control points by a grid
-whose cells are as wide as a lens's largest reach: a control point is copied to the cells its circle touches,
-nine at most, a pixel is in one, and the join is by lens and cell.
+them. A pixel's value is the weighted mean of the quadratics that reach it. Pixels meet control points by nested
+grids, one for each power of two among a lens's reaches: a control point is copied to the cells of its own grid
+that its circle touches, nine or so, a pixel is in one cell of each grid, and the join is by lens, grid and cell.
+A cell so holds few points whose circles miss it, however unevenly a lens's points lie.
 """
 
 from __future__ import annotations
@@ -17,31 +18,77 @@ from pyspark.sql import functions as F
 
 #: Control points of a fit, and the fewest a lens needs.
 NEIGHBOURS, LEAST_POINTS = 12, 6
-AT_ONCE = 512
+#: Control points of a cell, and distances at a time, in the search for nearest ones.
+CELL_POINTS, AT_ONCE = 32, 1 << 20
 
 
 def _terms(x, y):
     return [1.0 + 0 * x, x, y, x * y, x * x, y * y]
 
 
+def nearest(p: np.ndarray, k: int) -> np.ndarray:
+    """(rows, k): positions of the ``k`` nearest of ``p`` to each of them, itself included, the first of equally near ones.
+
+    ``p`` is sorted, so equal places follow each other. Each place looks in its cell of a grid and the eight around
+    it, which hold all that is nearer than a cell is wide; where that is too little, in a grid twice as wide.
+    """
+    new = np.append(True, (p[1:] != p[:-1]).any(1))
+    asks, place = np.flatnonzero(new), np.cumsum(new) - 1
+    pool = np.flatnonzero(np.arange(len(p)) - asks[place] < k)  # later ones of a place never count
+    low = p.min(0)
+    extent = float((p.max(0) - low).max())
+    size = 2 * extent / len(asks) ** 0.5 or 1.0
+    at = lambda i: np.floor((p[i] - low) / size).astype(np.int64)
+    while size > extent / 2**28 and np.unique(at(asks), axis=0, return_counts=True)[1].max() > CELL_POINTS:
+        size /= 2
+    out, open_ = np.empty((len(asks), k), np.int64), np.arange(len(asks))
+    while len(open_):
+        high = int(extent / size) + 3
+        number = lambda g: (g[:, 0] + 1) * high + g[:, 1] + 1
+        cells = number(at(pool))
+        order = np.argsort(cells, kind="stable")
+        cells, own = cells[order], number(at(asks[open_]))
+        mine = np.argsort(own, kind="stable")
+        bounds = np.flatnonzero(np.append(True, own[mine][1:] != own[mine][:-1])).tolist() + [len(mine)]
+        left = []
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            c = own[mine[s]]
+            spans = np.searchsorted(cells, [c - high - 1, c - high + 2, c - 1, c + 2, c + high - 1, c + high + 2])
+            near = np.sort(pool[np.concatenate([order[spans[i] : spans[i + 1]] for i in (0, 2, 4)])])
+            step = max(1, AT_ONCE // max(len(near), 1))
+            for lo in range(s, e, step):
+                who = open_[mine[lo : min(lo + step, e)]]
+                if len(near) < k:
+                    left.append(who)
+                    continue
+                d = np.linalg.norm(p[asks[who], None] - p[near][None], axis=2)
+                first = np.argsort(d, 1, kind="stable")[:, :k]
+                done = (np.take_along_axis(d, first[:, -1:], 1)[:, 0] < size * (1 - 1e-9)) | (size >= 2 * extent)
+                out[who[done]] = near[first[done]]
+                left.append(who[~done])
+        open_ = np.sort(np.concatenate(left))
+        size *= 2
+    return out[place]
+
+
 def fitted(points: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(lens, x, y, reach, cx, cy) of each control point of (lens, x, y, to_x, to_y): its place, how far it reaches, the coefficients of both coordinates.
 
-    A lens is a group: its control points, some hundreds, come from one calibration file. Lenses with fewer than
-    six points have no map.
+    A lens is a group, and takes time in proportion to its control points. Points with a value that is missing or
+    not finite don't count. Lenses with fewer than six points have no map.
     """
+    values = ("x", "y", "to_x", "to_y")
+    points = points.where(" AND ".join(f"abs({c}) < double('Infinity')" for c in values))
 
     def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["x", "y", "to_x", "to_y"])
+        f = f.sort_values(list(values))
         p, to = f[["x", "y"]].to_numpy(float), f[["to_x", "to_y"]].to_numpy(float)
         if len(p) < LEAST_POINTS:
             return pd.DataFrame([], columns=["lens", "x", "y", "reach", "cx", "cy"])
-        k, rows = min(max(neighbours, LEAST_POINTS), len(p)), []
-        for at in range(0, len(p), AT_ONCE):
-            d = np.linalg.norm(p[at : at + AT_ONCE, None] - p[None], axis=2)
-            for i, near in enumerate(np.argsort(d, 1, kind="stable")[:, :k]):
-                c = np.linalg.lstsq(np.column_stack(_terms(*p[near].T)), to[near], rcond=None)[0]
-                rows.append((key[0], *p[at + i], max(d[i, near].max(), 1e-9), c[:, 0].tolist(), c[:, 1].tolist()))
+        rows = []
+        for i, near in enumerate(nearest(p, min(max(neighbours, LEAST_POINTS), len(p)))):
+            c = np.linalg.lstsq(np.column_stack(_terms(*p[near].T)), to[near], rcond=None)[0]
+            rows.append((key[0], *p[i], max(np.linalg.norm(p[i] - p[near], axis=1).max(), 1e-9), c[:, 0].tolist(), c[:, 1].tolist()))
         return pd.DataFrame(rows, columns=["lens", "x", "y", "reach", "cx", "cy"])
 
     kind = points.schema["lens"].dataType.simpleString()
@@ -50,13 +97,14 @@ def fitted(points: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
 
 def mapped(pixels: DataFrame, fits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, lens, x, y) of ``pixels`` (keys, lens, x, y) through their lens's map; NULL where no control point reaches. ``keys`` tell pixels apart."""
-    size = fits.groupBy("lens").agg(F.max("reach").alias("size"))
-    fits = fits.select("lens", F.col("x").alias("px"), F.col("y").alias("py"), "reach", "cx", "cy").join(size, "lens")
-    cells = lambda c: F.sequence(F.floor((F.col(c) - F.col("reach")) / F.col("size")), F.floor((F.col(c) + F.col("reach")) / F.col("size")))
-    spread = fits.withColumn("gx", F.explode(cells("px"))).withColumn("gy", F.explode(cells("py"))).drop("size")
-    own = pixels.select(*keys, "lens", "x", "y").join(size, "lens", "left")
-    own = own.withColumns({"gx": F.floor(F.col("x") / F.col("size")), "gy": F.floor(F.col("y") / F.col("size"))}).drop("size")
-    d = own.join(spread, ["lens", "gx", "gy"], "left")
+    fits = fits.select("lens", F.col("x").alias("px"), F.col("y").alias("py"), "reach", "cx", "cy", F.ceil(F.log2("reach")).cast("int").alias("grid"))
+    size = F.pow(F.lit(2.0), F.col("grid"))
+    cells = lambda c: F.sequence(F.floor((F.col(c) - F.col("reach")) / size), F.floor((F.col(c) + F.col("reach")) / size))
+    spread = fits.withColumn("gx", F.explode(cells("px"))).withColumn("gy", F.explode(cells("py")))
+    grids = fits.groupBy("lens").agg(F.collect_set("grid").alias("grids"))
+    own = pixels.select(*keys, "lens", "x", "y").join(grids, "lens", "left").withColumn("grid", F.explode_outer("grids")).drop("grids")
+    own = own.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
+    d = own.join(spread, ["lens", "grid", "gx", "gy"], "left")
     r = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) / F.col("reach")
     d = d.withColumn("w", F.when(r < 1, 1 - 3 * r * r + 2 * r * r * r))
     value = lambda c: sum((F.get(c, F.lit(i)) * t for i, t in enumerate(_terms(F.col("x"), F.col("y")))), F.lit(0.0))

@@ -151,10 +151,11 @@ def read_offsets(spark: SparkSession, path: str, reference: str) -> DataFrame:
 
 
 def read_dlt_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(cam, coefs): eleven rows, a column for each camera."""
-    n = len(header(spark, path, 1)[0])
-    rows = _numbered(spark, path, 0).where(F.size("cells") >= n)
-    cam = rows.select("row", F.posexplode(F.array(*(_cell(i) for i in range(n)))).alias("cam", "v"))
+    """(cam, coefs): eleven rows, a column for each camera; the first row tells how many there are. Columns are positions of an array, so the plan doesn't grow with them."""
+    rows = _numbered(spark, path, 0)
+    n = rows.where("row = 0").agg(F.max(F.size("cells"))).scalar()
+    cam = rows.where(F.size("cells") >= n).select("row", F.posexplode("cells").alias("cam", "cell")).where(F.col("cam") < n)
+    cam = cam.select("row", "cam", finite(F.trim("cell")).alias("v"))
     return cam.groupBy("cam").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "v"))), lambda r: r["v"]).alias("coefs"))
 
 
