@@ -1,10 +1,11 @@
 """Sub-frame clocks from the tracks themselves: the offsets at which the cameras' views triangulate best.
 
-Every landmark and reference instant becomes one row that holds, for each camera, the raw frames around its
-local frame, wide enough for every offset the search may try. That takes one shuffle; the table is stored.
-Each round of the search is then a scan of it: all candidate offsets of the round are evaluated on each row
-(an Arrow batch at a time), and only one sum for each candidate and batch is shuffled. The driver holds the
-offsets of the cameras and the candidates of a round, nothing that grows with the data.
+Every landmark and block of reference instants becomes one row that holds, for each camera, the raw frames
+around their local frames, wide enough for every offset the search may try. That takes one shuffle, in which a
+frame travels once, or twice near a block's border; the table is stored. Each round of the search is then a scan
+of it: all candidate offsets of the round are evaluated on some blocks at a time, and only one sum for each
+candidate and task is shuffled. The driver holds the offsets of the cameras and the candidates of a round,
+nothing that grows with the data.
 
 A round's candidates are a grid for one camera (coarse, then fine), or, at the end, offsets of all cameras at
 once around the best ones, at a spacing that halves when none of them is better.
@@ -16,11 +17,12 @@ candidate that loses one is never chosen. All stable instants count, moving or n
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ OUTLIER_MEDIANS, BLAME_MARGIN, LEAST_OWN_CELLS = 4.0, 1.5, 30
 #: Rises of the cost half a frame away from which a camera's minimum is sharp, weak or that of a scene at rest.
 SHARP, WEAK, AT_REST = 0.10, 0.03, 0.005
 WHOLE = 1e-9
+#: Instants of a row of ``windows``, and rows that are evaluated at a time.
+BLOCK, AT_ONCE = 64, 128
 LEAST_GAIN = 1e-9
 
 
@@ -57,48 +61,57 @@ def rig(cameras: DataFrame, calibration: Mapping[str, Sequence[float]], search:
     return Rig(tuple(r["camera"] for r in rows), tuple(float(r["rate"]) for r in rows), tuple(float(r["offset"]) for r in rows), tuple(tuple(calibration[r["camera"]]) for r in rows), tuple(max(search, float(r["rate"])) for r in rows))
 
 
+def _lengths(r: Rig) -> tuple[int, ...]:
+    """Frames of each camera that a block holds."""
+    return tuple(math.ceil(rate * (BLOCK - 1)) + 2 * n + 3 for rate, n in zip(r.rates, r.reach, strict=True))
+
+
 def windows(cells: DataFrame, r: Rig) -> DataFrame:
-    """(name, t, w): for each landmark and instant that any camera is near, x and y of ``2 * reach + 2`` frames of each camera, NULL where it has none."""
-    start = [0]
-    for n in r.reach:
-        start.append(start[-1] + 2 * n + 2)
+    """(name, block, w): for each landmark and ``BLOCK`` instants in a row, the frames (k, x, y) of all cameras that any of them may need.
+
+    The cameras' stretches of frames lie one behind the other, ``k`` counts through them; frames without data are left out.
+    """
+    lengths = _lengths(r)
+    start = np.cumsum((0, *lengths)).tolist()
     own = cells.select("camera", "name", "frame", "x", "y").where("x is not null and y is not null")
-    side = cells.sparkSession.createDataFrame([(c, r.rates[i], r.offsets[i], r.reach[i], start[i]) for i, c in enumerate(r.names)], "camera string, rate double, offset double, reach int, start int")
+    side = cells.sparkSession.createDataFrame([(c, r.rates[i], r.offsets[i], r.reach[i], start[i], lengths[i]) for i, c in enumerate(r.names)], "camera string, rate double, offset double, reach int, start int, length int")
     d = own.join(F.broadcast(side), "camera")
-    # Slot k of a camera is the frame floor(rate * t + offset) - reach + k.
+    # An instant has frames floor(rate * t + offset) - reach and the 2 * reach + 1 after it.
     lo = F.ceil((F.col("frame") - F.col("reach") - 1 - F.col("offset")) / F.col("rate") - 1e-6).cast("long")
     hi = F.floor((F.col("frame") + F.col("reach") + 1 - F.col("offset")) / F.col("rate") + 1e-6).cast("long")
-    d = d.withColumn("t", F.explode(F.sequence(lo, hi)))
-    slot = F.col("frame") - F.floor(F.col("rate") * F.col("t") + F.col("offset")) + F.col("reach")
-    d = d.withColumn("slot", slot).where((F.col("slot") >= 0) & (F.col("slot") < 2 * F.col("reach") + 2))
-    points = F.map_from_entries(F.array_distinct(F.collect_list(F.struct((F.col("start") + F.col("slot")).cast("int").alias("k"), F.array("x", "y").alias("p")))))
-    flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(start[-1] - 1)), lambda k: F.coalesce(F.try_element_at(F.col("p"), k), F.array(F.lit(None).cast("double"), F.lit(None).cast("double")))))
+    d = d.withColumn("block", F.explode(F.sequence(F.floor(lo / BLOCK), F.floor(hi / BLOCK))))
+    at = F.col("frame") - F.floor(F.col("rate") * (F.col("block") * BLOCK) + F.col("offset")) + F.col("reach")
+    d = d.withColumn("at", at).where((F.col("at") >= 0) & (F.col("at") < F.col("length")))
     # A partition for each that the session asks for: the rounds scan this table, and their work is per row, not per byte.
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return d.repartition(parts, "name", "t").groupBy("name", "t").agg(points.alias("p")).select("name", "t", flat.alias("w"))
+    return d.repartition(parts, "name", "block").groupBy("name", "block").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).cast("int").alias("k"), "x", "y")).alias("w"))
 
 
 class _Batch:
-    """Windows of many rows as arrays; samples and residuals at any offsets."""
+    """The instants of some blocks as arrays; samples and residuals at any offsets."""
+
+    def __init__(self, r: Rig, t: np.ndarray, place: np.ndarray, base: list[np.ndarray], tracks: list[np.ndarray]) -> None:
+        """``place`` is each instant's block, ``base`` each camera's first frame of the block, ``tracks`` the (blocks, frames, 2) of each camera."""
+        self.r, self.t, self.place, self.base, self.tracks = r, t, place, base, tracks
+        self.local = [rate * t for rate in r.rates]
+        self.first = [np.floor(x + off) - n for x, off, n in zip(self.local, r.offsets, r.reach, strict=True)]
 
-    def __init__(self, t: np.ndarray, w: np.ndarray, r: Rig) -> None:
-        self.t, self.r = t.astype(float), r
-        cuts = np.cumsum([2 * n + 2 for n in r.reach])[:-1]
-        self.tracks = np.split(w.reshape(len(t), -1, 2), cuts, axis=1)
-        self.first = [np.floor(rate * self.t + off) - n for rate, off, n in zip(r.rates, r.offsets, r.reach, strict=True)]
+    def taken(self, rows: np.ndarray) -> _Batch:
+        return _Batch(self.r, self.t[rows], self.place[rows], [b[rows] for b in self.base], self.tracks)
 
     def sample(self, c: int, offset: float) -> np.ndarray:
         """(rows, 2) at the fractional local frame; NaN where a neighbour is missing or out of reach."""
-        at = self.r.rates[c] * self.t + offset - self.first[c]
+        at = self.local[c] + offset - self.first[c]
         near = np.floor(at + 0.5)
         at = np.where(np.abs(at - near) < WHOLE, near, at)
         low = np.floor(at)
         part = (at - low)[:, None]
-        track, rows = self.tracks[c], np.arange(len(at))
-        top = track.shape[1] - 1
+        top = 2 * self.r.reach[c] + 1
         inside = (low >= 0) & (low + (part[:, 0] > 0) <= top)
-        i = np.clip(low, 0, top).astype(int)
-        a, b = track[rows, i], track[rows, np.minimum(i + 1, top)]
+        track = self.tracks[c]
+        flat, row = track.reshape(-1, 2), self.place * track.shape[1]
+        i = row + np.clip(self.first[c] - self.base[c] + np.clip(low, 0, top), 0, track.shape[1] - 1).astype(np.int64)
+        a, b = flat[i], flat[np.minimum(i + 1, row + track.shape[1] - 1)]
         return np.where(inside[:, None], np.where(part > 0, a * (1 - part) + b * part, a), np.nan)
 
     def stable(self) -> np.ndarray:
@@ -110,59 +123,111 @@ class _Batch:
             out.append(np.all([np.isfinite(self.sample(c, o)).all(1) for o in probes], axis=0))
         return np.column_stack(out)
 
+    def terms(self, c: int, u: np.ndarray, v: np.ndarray, keep: np.ndarray) -> list[np.ndarray]:
+        """What a camera's view adds to the six sums of squares and three right sides of a point's normal equations."""
+        k = self.r.coefs[c]
+        a, b = ([np.where(keep, w * k[8 + j] - k[row + j], 0.0) for j in range(3)] for w, row in ((u, 0), (v, 4)))
+        p, q = (np.where(keep, k[row + 3] - w, 0.0) for w, row in ((u, 0), (v, 4)))
+        return [a[i] * a[j] + b[i] * b[j] for i in range(3) for j in range(i, 3)] + [a[i] * p + b[i] * q for i in range(3)]
+
+    def squares(self, c: int, x: Sequence[np.ndarray], u: np.ndarray, v: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        """Squared distance of a point's picture to a camera's view; nothing where it has none."""
+        k = self.r.coefs[c]
+        line = lambda o, last: k[o] * x[0] + k[o + 1] * x[1] + k[o + 2] * x[2] + last
+        den = line(8, 1.0)
+        return np.where(keep, (line(0, k[3]) / den - u) ** 2 + (line(4, k[7]) / den - v) ** 2, 0.0)
+
     def residuals(self, uv: np.ndarray) -> np.ndarray:
         """Of (rows, cameras, 2) views; NaN where fewer than two cameras see a point."""
         seen = np.isfinite(uv).all(2)
-        c = np.array(self.r.coefs)
-        u, v = uv[..., 0], uv[..., 1]
-        a = np.stack([u[..., None] * c[:, 8:11] - c[:, 0:3], v[..., None] * c[:, 8:11] - c[:, 4:7]], 2)
-        b = np.stack([c[:, 3] - u, c[:, 7] - v], 2)
-        a, b = (np.where(seen.reshape(seen.shape + (1,) * (x.ndim - 2)), x, 0.0) for x in (a, b))
-        n = seen.sum(1)
-        m, rhs = np.einsum("ncki,nckj->nij", a, a), np.einsum("ncki,nck->ni", a, b)
-        fine = (n >= 2) & (np.abs(np.linalg.det(m)) > 0)
-        m[~fine] = np.eye(3)
-        x = np.linalg.solve(m, rhs[..., None])[..., 0]
-        with np.errstate(all="ignore"):
-            den = x @ c[:, 8:11].T + 1
-            e = (((x @ c[:, 0:3].T + c[:, 3]) / den - u) ** 2 + ((x @ c[:, 4:7].T + c[:, 7]) / den - v) ** 2)
-            res = np.sqrt(np.where(seen, e, 0.0).sum(1) / np.maximum(2 * n - 3, 1))
-        return np.where(fine, res, np.nan)
-
+        views = [(uv[:, c, 0], uv[:, c, 1], seen[:, c]) for c in range(uv.shape[1])]
+        return self.summed(views, [self.terms(c, *view) for c, view in enumerate(views)])
 
-def _batches(frames: Iterator[pd.DataFrame], r: Rig) -> Iterator[tuple[pd.DataFrame, _Batch]]:
-    for f in frames:
-        if len(f):
-            yield f, _Batch(f["t"].to_numpy(), np.stack(f["w"].to_numpy()).astype(float), r)
+    def summed(self, views: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], terms: Sequence[Sequence[np.ndarray]]) -> np.ndarray:
+        """Residuals of (u, v, seen) of each camera with what each adds to the normal equations."""
+        n = np.sum([seen for _, _, seen in views], axis=0)
+        with np.errstate(all="ignore"):
+            x, fine = _solved([sum(parts[1:], parts[0]) for parts in zip(*terms, strict=True)])
+            e = sum(self.squares(c, x, *view) for c, view in enumerate(views))
+            return np.where((n >= 2) & fine, np.sqrt(e / np.maximum(2 * n - 3, 1)), np.nan)
+
+
+def _solved(s: Sequence[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The solutions of symmetric 3 x 3 systems by elimination, and where they have one; ``s`` has the upper triangle by rows and the right side."""
+    m00, m01, m02, m11, m12, m22, b0, b1, b2 = s
+    f, g = m01 / m00, m02 / m00
+    d11, d12, d22 = m11 - f * m01, m12 - f * m02, m22 - g * m02
+    c1, c2 = b1 - f * b0, b2 - g * b0
+    h = d12 / d11
+    e22 = d22 - h * d12
+    z = (c2 - h * c1) / e22
+    y = (c1 - d12 * z) / d11
+    return [(b0 - m01 * y - m02 * z) / m00, y, z], np.abs(m00 * d11 * e22) > 0
+
+
+def _batches(tables: Iterator[pa.RecordBatch], r: Rig) -> Iterator[tuple[np.ndarray, _Batch]]:
+    """Names and instants of some blocks at a time."""
+    lengths = _lengths(r)
+    cuts, width = np.cumsum(lengths)[:-1], sum(lengths)
+    for table in tables:
+        for lo in range(0, table.num_rows, AT_ONCE):
+            part = table.slice(lo, AT_ONCE)
+            w, block = part.column("w"), part.column("block").to_numpy(zero_copy_only=False).astype(np.int64)
+            cells = w.flatten()
+            spot = np.repeat(np.arange(len(block)), np.diff(w.offsets.to_numpy())) * width + cells.field("k").to_numpy()
+            xy = np.column_stack([cells.field(c).to_numpy(zero_copy_only=False) for c in "xy"])
+            dense = np.full((len(block) * width, 2), np.nan)
+            dense[spot] = xy
+            if not np.array_equal(dense[spot], xy, equal_nan=True):
+                raise ValueError("a camera has a landmark twice on one frame, at different places")
+            tracks = [np.ascontiguousarray(x) for x in np.split(dense.reshape(len(block), width, 2), cuts, axis=1)]
+            place = np.repeat(np.arange(len(block)), BLOCK)
+            t = (block[:, None] * BLOCK + np.arange(BLOCK)).ravel().astype(float)
+            base = [(np.floor(rate * (block * BLOCK) + off) - n)[place] for rate, off, n in zip(r.rates, r.offsets, r.reach, strict=True)]
+            yield part.column("name").to_numpy(zero_copy_only=False)[place], _Batch(r, t, place, base, tracks)
 
 
 def costs(table: DataFrame, r: Rig, candidates: Sequence[Sequence[float]], own: int | None = None, cap: float = math.inf) -> list[float]:
     """The mean residual of the scored cells at each candidate's offsets; infinite where a scored view is lost or nothing is scored.
 
-    ``own`` restricts the cells to those that a camera shares; ``cap`` bounds what a cell can count.
+    ``own`` restricts the cells to those that a camera shares; ``cap`` bounds what a cell can count. What a camera
+    adds at an offset is computed once for all candidates that have it there.
     """
+    often = {key for key, n in Counter((c, o) for offsets in candidates for c, o in enumerate(offsets)).items() if n > 1}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(candidates), 3))
-        for _, batch in _batches(frames, r):
+        for _, batch in _batches(tables, r):
             keep = batch.stable()
             rows = keep.sum(1) >= 2
             if own is not None:
                 rows &= keep[:, own]
             if not rows.any():
                 continue
-            seen: dict[tuple[int, float], np.ndarray] = {}
+            part, kept = batch.taken(rows), [np.ascontiguousarray(k) for k in keep[rows].T]
+            held: dict[tuple[int, float], tuple] = {}
+
+            def view(c: int, o: float, part=part, kept=kept, held=held) -> tuple:
+                if (c, o) in held:
+                    return held[c, o]
+                u, v = part.sample(c, o).T.copy()
+                lost = bool((kept[c] & ~(np.isfinite(u) & np.isfinite(v))).any())
+                out = (u, v, kept[c]), part.terms(c, u, v, kept[c]), lost
+                if (c, o) in often:
+                    held[c, o] = out
+                return out
+
             for k, offsets in enumerate(candidates):
-                views = [seen.setdefault((c, o), batch.sample(c, o)) if (c, o) not in seen else seen[c, o] for c, o in enumerate(offsets)]
-                uv = np.stack(views, 1)
-                lost = (keep & ~np.isfinite(uv).all(2))[rows].any()
-                uv[~keep] = np.nan
-                res = batch.residuals(uv[rows])
+                views, terms, lost = zip(*(view(c, o) for c, o in enumerate(offsets)), strict=True)
+                if any(lost):
+                    total[k, 2] += 1
+                    continue
+                res = part.summed(views, terms)
                 res = np.minimum(res[np.isfinite(res)], cap)
-                total[k] += res.sum(), len(res), lost
-        yield pd.DataFrame({"k": range(len(candidates)), "total": total[:, 0], "n": total[:, 1], "lost": total[:, 2]})
+                total[k, :2] += res.sum(), len(res)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(candidates)), pa.int32()), "total": total[:, 0], "n": total[:, 1], "lost": total[:, 2]})
 
-    sums = table.mapInPandas(run, "k int, total double, n double, lost double").groupBy("k").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("lost").alias("lost"))
+    sums = table.mapInArrow(run, "k int, total double, n double, lost double").groupBy("k").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("lost").alias("lost"))
     out = [math.inf] * len(candidates)
     for row in sums.collect():  # one row for each candidate of the round
         if row["n"] and not row["lost"]:
@@ -173,8 +238,8 @@ def costs(table: DataFrame, r: Rig, candidates: Sequence[Sequence[float]], own:
 def residuals_at(table: DataFrame, r: Rig, offsets: Sequence[float], stable_only: bool = False) -> DataFrame:
     """(name, t, residual, blamed): ``blamed`` lists cameras by position, see ``outlying_cells``; NULL where nothing is triangulated."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f, batch in _batches(frames, r):
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, batch in _batches(tables, r):
             uv = np.stack([batch.sample(c, o) for c, o in enumerate(offsets)], 1)
             if stable_only:
                 uv[~batch.stable()] = np.nan
@@ -189,10 +254,11 @@ def residuals_at(table: DataFrame, r: Rig, offsets: Sequence[float], stable_only
             order = np.sort(rest, 1)
             with np.errstate(invalid="ignore"):
                 clear = (seen.sum(1) >= 3) & np.isfinite(order[:, 0]) & (order[:, 1] > BLAME_MARGIN * order[:, 0]) & (order[:, 1] > 0.5 * full)
-            who = [[int(rest[i].argmin())] if clear[i] else np.flatnonzero(seen[i]).tolist() for i in range(len(f))]
-            yield pd.DataFrame({"name": f["name"], "t": f["t"], "residual": pd.Series(full, index=f.index).where(np.isfinite(full), None), "blamed": pd.Series(who, index=f.index)})
+            got = np.flatnonzero(np.isfinite(full))
+            who = [[int(rest[i].argmin())] if clear[i] else np.flatnonzero(seen[i]).tolist() for i in got]
+            yield pa.RecordBatch.from_pydict({"name": pa.array(names[got], pa.string()), "t": batch.t[got].astype(np.int64), "residual": full[got], "blamed": pa.array(who, pa.list_(pa.int32()))})
 
-    return table.mapInPandas(run, "name string, t long, residual double, blamed array<int>").where("residual is not null")
+    return table.mapInArrow(run, "name string, t long, residual double, blamed array<int>")
 
 
 def outlying_cells(table: DataFrame, r: Rig, offsets: Sequence[float]) -> tuple[DataFrame, DataFrame]:
@@ -306,11 +372,11 @@ def estimated_offsets(cells: DataFrame, r: Rig, step: float = 0.05, refine: floa
 def _own_cells(table: DataFrame, r: Rig) -> list[int]:
     """Scored cells that each camera shares with another, and at the end all scored cells."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, batch in _batches(frames, r):
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, batch in _batches(tables, r):
             keep = batch.stable()
             shared = keep[keep.sum(1) >= 2]
-            yield pd.DataFrame({"c": range(len(r.names) + 1), "n": [*shared.sum(0), len(shared)]})
+            yield pa.RecordBatch.from_pydict({"c": pa.array(range(len(r.names) + 1), pa.int32()), "n": np.array([*shared.sum(0), len(shared)], np.int64)})
 
-    found = {row["c"]: row["n"] for row in table.mapInPandas(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    found = {row["c"]: row["n"] for row in table.mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}
     return [int(found.get(c, 0)) for c in range(len(r.names) + 1)]

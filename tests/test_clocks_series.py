@@ -224,3 +224,12 @@ def test_stream_equals_batch_out_of_order_and_after_a_restart(spark, tmp_path):
             run()
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).where(F.col("clip") != "end").collect()))
     assert got == want
+
+
+def test_clock_windows_hold_each_frame_once_or_twice(spark):
+    cells, r = spark.createDataFrame(helix(), CELL), rig(spark)
+    held = clock_search.windows(cells, r).agg(F.sum(F.size("w"))).first()[0]
+    assert cells.count() <= held <= 2 * cells.count()
+    twice = cells.union(cells.limit(1).withColumn("x", F.col("x") + 1))
+    with pytest.raises(Exception, match="twice on one frame"):
+        clock_search.costs(clock_search.windows(twice, r), r, [list(GIVEN)])
