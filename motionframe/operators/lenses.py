@@ -10,6 +10,7 @@ A cell so holds few points whose circles miss it, however unevenly a lens's poin
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 NEIGHBOURS, LEAST_POINTS = 12, 6
 #: Control points of a cell, and distances at a time, in the search for nearest ones.
 CELL_POINTS, AT_ONCE = 32, 1 << 20
+#: Quadratics fitted side by side.
+FITS = 4096
 
 
 def _terms(x, y):
@@ -71,6 +74,18 @@ def nearest(p: np.ndarray, k: int) -> np.ndarray:
     return out[place]
 
 
+def quadratics(p: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """(fits, 6, 2): least-squares coefficients of least norm for (fits, points, 2) places and values."""
+    u, s, vt = np.linalg.svd(np.stack(_terms(p[..., 0], p[..., 1]), 2), full_matrices=False)
+    some = s > np.finfo(float).eps * max(p.shape[1], 6) * s[:, :1]
+    part = np.swapaxes(u, 1, 2) @ to * np.where(some, 1 / np.where(some, s, 1.0), 0.0)[..., None]
+    return np.swapaxes(vt, 1, 2) @ part
+
+
+def _parts(d: DataFrame) -> int:
+    return int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def fitted(points: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(lens, x, y, reach, cx, cy) of each control point of (lens, x, y, to_x, to_y): its place, how far it reaches, the coefficients of both coordinates.
 
@@ -85,14 +100,14 @@ def fitted(points: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
         p, to = f[["x", "y"]].to_numpy(float), f[["to_x", "to_y"]].to_numpy(float)
         if len(p) < LEAST_POINTS:
             return pd.DataFrame([], columns=["lens", "x", "y", "reach", "cx", "cy"])
-        rows = []
-        for i, near in enumerate(nearest(p, min(max(neighbours, LEAST_POINTS), len(p)))):
-            c = np.linalg.lstsq(np.column_stack(_terms(*p[near].T)), to[near], rcond=None)[0]
-            rows.append((key[0], *p[i], max(np.linalg.norm(p[i] - p[near], axis=1).max(), 1e-9), c[:, 0].tolist(), c[:, 1].tolist()))
-        return pd.DataFrame(rows, columns=["lens", "x", "y", "reach", "cx", "cy"])
+        near = nearest(p, min(max(neighbours, LEAST_POINTS), len(p)))
+        reach = np.maximum(np.linalg.norm(p[:, None] - p[near], axis=2).max(1), 1e-9)
+        c = np.concatenate([quadratics(p[near[lo : lo + FITS]], to[near[lo : lo + FITS]]) for lo in range(0, len(p), FITS)])
+        return pd.DataFrame({"lens": key[0], "x": p[:, 0], "y": p[:, 1], "reach": reach, "cx": list(c[:, :, 0]), "cy": list(c[:, :, 1])})
 
     kind = points.schema["lens"].dataType.simpleString()
-    return points.groupBy("lens").applyInPandas(one, f"lens {kind}, x double, y double, reach double, cx array<double>, cy array<double>")
+    # As many partitions as the session asks for: few bytes are much work here, by which adaptive plans would put all lenses in one task.
+    return points.repartition(_parts(points), "lens").groupBy("lens").applyInPandas(one, f"lens {kind}, x double, y double, reach double, cx array<double>, cy array<double>")
 
 
 def mapped(pixels: DataFrame, fits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -104,9 +119,12 @@ def mapped(pixels: DataFrame, fits: DataFrame, keys: tuple[str, ...]) -> DataFra
     grids = fits.groupBy("lens").agg(F.collect_set("grid").alias("grids"))
     own = pixels.select(*keys, "lens", "x", "y").join(grids, "lens", "left").withColumn("grid", F.explode_outer("grids")).drop("grids")
     own = own.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
-    d = own.join(spread, ["lens", "grid", "gx", "gy"], "left")
+    cell = ["lens", "grid", "gx", "gy"]
     r = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) / F.col("reach")
-    d = d.withColumn("w", F.when(r < 1, 1 - 3 * r * r + 2 * r * r * r))
+    # Points of a cell whose circles miss the pixel go in the join itself; a pixel that none reaches stays.
+    at = spread.select(*(F.col(c).alias(f"_{c}") for c in cell), "px", "py", "reach", "cx", "cy").repartition(_parts(pixels), *(f"_{c}" for c in cell))
+    meets = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_{c}") for c in cell))
+    d = own.repartition(_parts(pixels), *cell).join(at, meets & (r < 1), "left").withColumn("w", 1 - 3 * r * r + 2 * r * r * r)
     value = lambda c: sum((F.get(c, F.lit(i)) * t for i, t in enumerate(_terms(F.col("x"), F.col("y")))), F.lit(0.0))
     mean = lambda c: F.try_divide(F.sum(F.col("w") * value(c)), F.sum("w"))
     return d.groupBy(*keys, "lens").agg(mean("cx").alias("x"), mean("cy").alias("y"))

@@ -206,3 +206,19 @@ def test_constellations(spark):
     assert (got[3].x, got[3].y) == pytest.approx((48, 39)) and got[3].confidence == pytest.approx(0.54)
     assert got[4].x is None and got[4].confidence == 0 and not got[4].visible
     assert (got[5].x, got[5].y) == pytest.approx(tuple(true)) and got[5].confidence == pytest.approx(0.45) and not got[5].visible
+
+
+def test_quadratics_side_by_side_equal_single_ones_and_pixels_meet_only_points_that_reach(spark):
+    from motionframe.operators import lenses
+
+    rng = np.random.default_rng(3)
+    p, to = rng.normal(0, 250, (40, 12, 2)), rng.normal(0, 100, (40, 12, 2))
+    p[1] = p[1, :1]  # equal places have the fit of least norm
+    got = lenses.quadratics(p, to)
+    for i in range(40):
+        want = np.linalg.lstsq(np.column_stack([np.ones(12), p[i, :, 0], p[i, :, 1], p[i].prod(1), p[i, :, 0] ** 2, p[i, :, 1] ** 2]), to[i], rcond=None)[0]
+        assert np.allclose(got[i], want, rtol=1e-7, atol=1e-9)
+    rows = [("a", *map(float, x), 1.0, 2.0) for x in rng.normal(0, 50, (60, 2))]
+    points = spark.createDataFrame(rows, "lens string, x double, y double, to_x double, to_y double")
+    plan = lenses.mapped(points.select("lens", "x", "y"), lenses.fitted(points), ("x", "y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(HYPOT(" in plan.split("Join LeftOuter, ", 1)[1].split("\n")[0]
