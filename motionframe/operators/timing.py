@@ -2,7 +2,7 @@
 
 If two cameras' clocks agree, the views of both landmarks over all instants fit one epipolar relation. For each
 pair the second camera's clock is moved frame by frame; the share of views that fit peaks where it is right.
-Samples at every shift come from one interval join, each (pair, shift) is a bounded group of evenly spread
+Samples at every shift come from frames that stand beside their next ones, each (pair, shift) is a bounded group of evenly spread
 instants, and its relation is found by a seeded consensus search. First every other shift is tried, then the
 neighbours of each pair's best three. The pairs' peaks, a table of at most a row for each two cameras, are then
 joined into one shift for each camera by weighted least squares.
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionframe.operators.alignment import sampled
+from motionframe.operators.alignment import WHOLE
 from motionframe.operators.runs import evenly_thinned
 from motionframe.sources.scratch import written
 
@@ -83,14 +83,24 @@ def shared_views(cells: DataFrame, cameras: DataFrame, ends: tuple[str, str], sh
     """
     asked = shifts.select(F.col("b").alias("camera"), "shift").union(shifts.select(F.col("a").alias("camera"), F.lit(0).alias("shift"))).distinct()
     clocks = cameras.join(asked, "camera").withColumn("offset", F.col("offset") + F.col("shift"))
-    one, other = ends
-    seen = sampled(cells.where(F.col("name").isin(one, other)), clocks, by=("shift",))
     at = lambda n, c: F.max(F.when(F.col("name") == n, F.col(c)))
-    views = seen.groupBy("camera", "shift", F.col("t").alias("frame")).agg(*(at(n, c).alias(f"{c}{i}") for i, n in enumerate(ends) for c in "xy"))
-    views = views.where(" AND ".join(f"{c}{i} IS NOT NULL" for i in (0, 1) for c in "xy"))
-    if extent:
-        views = views.where(F.col("frame").between(*extent))
-    views = views.select("camera", "shift", "frame", F.array("x0", "y0", "x1", "y1").alias("v"))
+    # Both landmarks on a frame and on the next one are put side by side before clocks are tried, so that a sample at any clock comes from one row.
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = cells.where(F.col("name").isin(*ends)).groupBy("camera", "frame").agg(*(at(n, c).alias(f"{c}{i}") for i, n in enumerate(ends) for c in "xy"))
+    own = own.where(" AND ".join(f"{c}{i} IS NOT NULL" for i in (0, 1) for c in "xy")).select("camera", "frame", F.array("x0", "y0", "x1", "y1").alias("v"))
+    both = own.select("camera", F.explode(F.array(F.struct("frame", F.lit(0).alias("k"), "v"), F.struct((F.col("frame") - 1).alias("frame"), F.lit(1).alias("k"), "v"))).alias("r")).select("camera", "r.*")
+    both = both.repartition(parts, "camera", "frame").groupBy("camera", "frame").agg(F.max(F.when(F.col("k") == 0, F.col("v"))).alias("here"), F.max(F.when(F.col("k") == 1, F.col("v"))).alias("ahead"))
+    d = both.where("here IS NOT NULL").withColumnRenamed("frame", "own").join(F.broadcast(clocks), "camera")
+    lo = F.ceil((F.col("own") - F.col("offset")) / F.col("rate") - 1e-6).cast("long")
+    hi = F.floor((F.col("own") + 1 - F.col("offset")) / F.col("rate") + 1e-6).cast("long")
+    d = d.withColumn("frame", F.explode(F.sequence(lo, F.greatest(lo, hi))))
+    f = F.col("rate") * F.col("frame") + F.col("offset")
+    near = F.floor(f + 0.5)
+    whole = F.abs(f - near) < WHOLE
+    d = d.withColumns({"whole": whole, "part": f - F.floor(f)}).where(F.when(whole, near).otherwise(F.floor(f)) == F.col("own")).where("whole OR ahead IS NOT NULL")
+    mixed = F.array(*(F.get("here", F.lit(i)) * (1 - F.col("part")) + F.get("ahead", F.lit(i)) * F.col("part") for i in range(4)))
+    views = d.where(F.col("frame").between(*extent)) if extent else d
+    views = views.select("camera", "shift", "frame", F.when(F.col("whole"), F.col("here")).otherwise(mixed).alias("v"))
     first = views.where("shift = 0").select(F.col("camera").alias("a"), "frame", F.col("v").alias("p"))
     second = views.select(F.col("camera").alias("b"), "shift", "frame", F.col("v").alias("q")).join(F.broadcast(shifts), ["b", "shift"])
     return second.join(first, ["a", "frame"]).select("a", "b", "shift", "frame", "p", "q")

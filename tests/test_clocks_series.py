@@ -233,3 +233,19 @@ def test_clock_windows_hold_each_frame_once_or_twice(spark):
     twice = cells.union(cells.limit(1).withColumn("x", F.col("x") + 1))
     with pytest.raises(Exception, match="twice on one frame"):
         clock_search.costs(clock_search.windows(twice, r), r, [list(GIVEN)])
+
+
+def test_shared_views_sample_each_clock_without_a_shuffle_of_its_own(spark):
+    """Frames are grouped twice, for all clocks together; samples are then only joined."""
+    cells = spark.createDataFrame([(c, n, f, float(f), float(f * f)) for c in ("c0", "c1") for n in "ab" for f in range(12) if f != 6], CELL)
+    cameras = spark.createDataFrame([("c0", 0, 0.0, 1.0), ("c1", 1, 0.25, 1.0)], "camera string, ord int, offset double, rate double")
+    shifts = spark.createDataFrame([("c0", "c1", k) for k in (-1, 0, 1)], "a string, b string, shift int")
+    d = timing.shared_views(cells, cameras, ("a", "b"), shifts)
+    got = {(r.shift, r.frame): (r.p, r.q) for r in d.collect()}
+    have = set(range(12)) - {6}
+    assert set(got) == {(k, t) for k in (-1, 0, 1) for t in have if t + k in have and t + k + 1 in have}
+    for (k, t), (p, q) in got.items():
+        y = 0.75 * (t + k) ** 2 + 0.25 * (t + k + 1) ** 2
+        assert p == [t, t * t, t, t * t] and q == pytest.approx([t + k + 0.25, y, t + k + 0.25, y])
+    optimized = d._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in x and "shift" in x and "frame" in x for x in optimized.split("\n"))
