@@ -41,8 +41,8 @@ from pyspark.sql import types as T
 from motionframe.llm._common import let, long_id, table, text_id
 
 SPACE = "▁"
-#: Words that a worker remembers, and characters of words that are folded side by side.
-CACHED, SLICE = 400_000, 300_000
+#: Words that a worker remembers and their characters, characters of words that are folded side by side, and of texts that are cut at a time.
+CACHED, HELD, SLICE, CUT = 200_000, 2_000_000, 150_000, 1_000_000
 #: Borders that fit a mask.
 MASK = 63
 FILTER_BITS = 20
@@ -138,7 +138,7 @@ class Lattice(dict):
 
     def __init__(self, normal: dict[str, tuple[float, int]], byte_ids: tuple[int, ...], longest: int):
         super().__init__()
-        self.normal, self.byte_ids, self.longest = normal, byte_ids, longest
+        self.normal, self.byte_ids, self.longest, self.chars = normal, byte_ids, longest, 0
         self.by_length = []
         for k in range(1, longest + 1):
             own = [p for p in normal if len(p) == k]
@@ -246,6 +246,10 @@ class Lattice(dict):
                     offer(back[a])
         return border
 
+    def clear(self) -> None:
+        super().clear()
+        self.chars = 0
+
     def learn(self, words: list[str]) -> None:
         """Encodes words that aren't known yet, in slices."""
         at = 0
@@ -259,6 +263,7 @@ class Lattice(dict):
 
     def _slice(self, words: list[str]) -> None:
         text = "".join(words)
+        self.chars += len(text)
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         stops = np.cumsum(lengths)
@@ -293,6 +298,19 @@ def _worker_lattice(shared) -> Lattice:
     return held[name]
 
 
+def _slices(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows in a row with at most ``CUT`` characters of text and 1,000 rows; a longer text stands alone."""
+    size, lo = 0, 0
+    for i, text in enumerate(f["text"]):
+        n = len(text or "")
+        if i > lo and (size + n > CUT or i - lo >= 1000):
+            yield f.iloc[lo:i]
+            size, lo = 0, i
+        size += n
+    if len(f) > lo:
+        yield f.iloc[lo:]
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row of ``docs``."""
     known = pieces(path)
@@ -301,10 +319,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _worker_lattice(shared)
         for f in frames:
-            for lo in range(0, len(f), 1000):  # so many texts at a time
-                part = f.iloc[lo : lo + 1000]
+            for part in _slices(f):
                 cut = [SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in part["text"]]
-                if len(words) > CACHED:
+                if len(words) > CACHED or words.chars > HELD:
                     words.clear()
                 words.learn([w for w in set().union(*cut) if w not in words])
                 ids = [np.frombuffer(b"".join(map(words.__getitem__, row)), "<i4") for row in cut]

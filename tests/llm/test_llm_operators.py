@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from motionframe.llm import best_fit_packing, html_extraction, license_scan, metric_tree, minhash, piece_lattice, quality_classifier, quality_rules, token_matrix, tokenizing, url_filter
@@ -630,3 +631,17 @@ def test_equal_to_sql(spark, name):
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE[name]})").fetchall()
     near = lambda row: tuple(round(x, 9) if isinstance(x, float) else x for x in row)
     assert sorted(map(near, df.collect()), key=repr) == sorted(map(near, want), key=repr)
+
+
+def test_piece_workers_hold_bounded_texts_and_words():
+    sizes = [10, piece_lattice.CUT - 5, 3, 2 * piece_lattice.CUT, 1] + [1] * 1500
+    f = pd.DataFrame({"doc_id": range(len(sizes) + 1), "text": ["x" * n for n in sizes] + [None]})
+    parts = list(piece_lattice._slices(f))
+    assert [i for p in parts for i in p["doc_id"]] == list(f["doc_id"])
+    assert all(len(p) <= 1000 and (len(p) == 1 or p["text"].fillna("").str.len().sum() <= piece_lattice.CUT) for p in parts)
+    known = piece_lattice.pieces()
+    words = piece_lattice.Lattice(known.normal, known.byte_ids, known.longest)
+    words.learn(["▁abc", "▁de"])
+    assert words.chars == 7
+    words.clear()
+    assert not words and words.chars == 0
