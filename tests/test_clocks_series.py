@@ -133,6 +133,59 @@ def test_timing_check(spark):
     assert (got["c1"].suggested, got["c2"].suggested, got["c3"].why) == (2, 0, "few instants") and got["c0"].verdict == "suggest"
 
 
+def seen_by_two(points, rate=1, spoiled=(), seed=1):
+    """Cells of two cameras that see ``points`` (frames, 2, 3), the first one every ``rate``-th; ``spoiled`` frames of the second are far off."""
+    g, rows = np.random.default_rng(seed), []
+    for f, ends in enumerate(points):
+        for n, p in zip("ab", ends, strict=True):
+            if f % rate == 0:
+                rows.append(("c0", n, f // rate, *map(float, pixel(0, p))))
+            rows.append(("c1", n, f, *map(float, np.array(pixel(1, p)) + (g.normal(size=2) * 300 if f in spoiled else 0))))
+    return rows
+
+
+def test_every_shared_instant_counts(spark):
+    """The spoiled views are those that even thinning to 300 instants would leave."""
+    points = np.random.default_rng(5).normal(size=(900, 2, 3)) * 0.2
+    d = seen_by_two(points, spoiled={math.ceil(k * 899 / 299) for k in range(300)})
+    cameras = spark.createDataFrame([("c0", 0, 0.0, 1.0), ("c1", 1, 0.0, 1.0)], "camera string, ord int, offset double, rate double")
+    shifts = spark.createDataFrame([("c0", "c1", 0)], "a string, b string, shift int")
+    (got,) = timing.scored(spark.createDataFrame(d, CELL), cameras, ("a", "b"), shifts).collect()
+    assert got.n == 900 and 600 / 900 <= got.share <= 620 / 900
+    at = {(c, n, f): (x, y) for c, n, f, x, y in d}
+    a, b = (np.array([at[c, n, f] for n in "ab" for f in range(900)]) for c in ("c0", "c1"))
+    assert got.share == pytest.approx(timing.inlier_share(a, b, timing.BAND, timing._seed("c0", "c1", 0)), abs=0.002)
+
+
+def test_every_shift_is_scored(spark):
+    """A peak of a single frame at an odd shift, far from any other."""
+    points = np.random.default_rng(6).normal(size=(150, 2, 3)) * 0.2
+    d = spark.createDataFrame(seen_by_two(points), CELL)
+    cameras = spark.createDataFrame([("c0", 0, 0.0, 1.0), ("c1", 1, -17.0, 1.0)], "camera string, ord int, offset double, rate double")
+    (got,) = timing.pair_peaks(d, cameras, ("a", "b")).collect()
+    assert (got.best, got.share_best, got.rows, got.used) == (17, 1.0, 133, True)
+    pairs = spark.createDataFrame([("c0", "c1", k) for k in range(-30, 31)], "a string, b string, shift int")
+    assert timing.scored(d, cameras, ("a", "b"), pairs).where("share is not null").count() == 61
+
+
+def test_scans_of_blocks_see_what_shared_views_holds(spark):
+    """More points than are drawn for proposals, cameras of two rates, frames without one landmark, and an extent."""
+    points = np.random.default_rng(7).normal(size=(5400, 2, 3)) * 0.2
+    spoiled = set(np.random.default_rng(8).permutation(5400)[:1620].tolist())
+    cells = spark.createDataFrame([r for r in seen_by_two(points, 2, spoiled) if (r[2] + len(r[0] + r[1])) % 31 or r[1] == "a"], CELL)
+    cameras = spark.createDataFrame([("c0", 0, 0.0, 1.0), ("c1", 1, 0.0, 2.0)], "camera string, ord int, offset double, rate double")
+    for offset, extent in ((0.0, None), (0.0, (40, 700)), (-0.25, None)):
+        own = cameras.withColumn("offset", F.when(F.col("ord") == 1, offset).otherwise(0.0))
+        shifts = spark.createDataFrame([("c0", "c1", k) for k in (-30, -1, 0, 1, 7)], "a string, b string, shift int")
+        want = {r["shift"]: r["count"] for r in timing.shared_views(cells, own, ("a", "b"), shifts, extent).groupBy("shift").count().collect()}
+        got = {r.shift: r for r in timing.scored(cells, own, ("a", "b"), shifts, extent=extent).collect()}
+        assert {k: r.n for k, r in got.items()} == want and len(want) == 5
+        if offset == 0:
+            assert 0.66 <= got[0].share <= 0.74 and all(r.share < 0.1 for k, r in got.items() if k)
+    assert want[0] * 2 > timing.DRAWN
+    assert timing.scored(cells.where("false"), cameras, ("a", "b"), shifts).count() == 0
+
+
 # ---- machines ----------------------------------------------------------------------------------------------
 
 
