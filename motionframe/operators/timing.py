@@ -32,7 +32,7 @@ GOOD_SHARE, MARGIN, WHOLE_FRAME, FRACTION = 0.6, 0.15, 0.75, 0.25
 TRIALS, SAMPLE = 400, 8
 #: Points that are drawn over all instants, on average, for the ``TRIALS * SAMPLE`` of the proposals; every point votes.
 DRAWN = 4000
-#: From a relation towards its refit, as multiples of the way: the refit itself, and further, which takes a fifth of the rounds.
+#: From a relation towards its refit, as multiples of the way: the refit itself, and further, which saves rounds.
 STEPS = (1, 2, 4, 8, 16)
 #: Instants of a row of ``blocks``, rows that are evaluated and tests that are made at a time, pairs of cameras whose proposals are held at a time.
 BLOCK, AT_ONCE, TESTED, PAIRS_AT_ONCE = 256, 16, 25_600, 8
